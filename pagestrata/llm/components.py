@@ -1,0 +1,58 @@
+"""Connected components of an edge table, without collecting it.
+
+Each task first contracts its own edges by union-find, a bounded number at a time; large-star and
+small-star rounds then join the tasks' forests. Rounds aggregate with map-side minima and join
+back, so a hub of any degree neither gathers in one task nor widens a row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagestrata.llm.common import checkpointed
+
+
+def _contract(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    def out() -> pa.RecordBatch:
+        stars = [(x, r) for x in parent if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        if len(parent) >= most:
+            yield out()
+            parent.clear()
+    yield out()
+
+
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of the edges (u, v); a component is named by its smallest node."""
+    edges = checkpointed(spark, edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, "u long, v long").distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        met = large.join(low, "u")
+        small = met.select("u", F.col("m").alias("v")).unionByName(met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        edges = checkpointed(spark, small)
+        if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagestrata.llm import token_counts
+from pagestrata.llm import near_dedup, token_counts
 
-MODULES = (token_counts,)
+MODULES = (near_dedup, token_counts)
 
 
 def queries() -> dict:
