@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagestrata.llm import language_id, license_scan, near_dedup, token_counts
+from pagestrata.llm import language_id, license_scan, mixing, near_dedup, token_counts
 
-MODULES = (language_id, near_dedup, license_scan, token_counts)
+MODULES = (language_id, near_dedup, license_scan, mixing, token_counts)
 
 
 def queries() -> dict:
