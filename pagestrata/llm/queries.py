@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagestrata.llm import language_id, license_scan, line_dedup, mixing, near_dedup, token_counts
+from pagestrata.llm import decontamination, language_id, license_scan, line_dedup, mixing, near_dedup, token_counts
 
-MODULES = (language_id, near_dedup, license_scan, line_dedup, mixing, token_counts)
+MODULES = (language_id, near_dedup, license_scan, decontamination, line_dedup, mixing, token_counts)
 
 
 def queries() -> dict:
