@@ -7,10 +7,9 @@ of an earlier step no later step can matter, so long texts stop after a step or
 all texts of a batch at once.
 
 Texts with equal sets are one class and take one row from there on. In each bucket (band) every
-class is compared with the bucket's smallest on the full sets. Buckets whose classes are then not all
-connected get an exact second round: each class outside the smallest one's component is joined
-with the bucket's others on prefix shingles, the rare ones first; two sets whose Jaccard similarity
-reaches the threshold share one. No pairs are capped, and a bucket of copies costs one pair a class.
+class is compared with the bucket's smallest on the full sets. Classes that buckets chain together form
+a soup; soups that are then not all connected get an exact second round around a pivot (see
+_second_round). No pairs are capped, and a soup of edited copies costs about a pair a class.
 
 With 26 bands of 6 components, a pair at similarity 0.85 meets in some bucket with a chance of
 1 - 4.5e-6, and higher pairs with more. Null, empty and blank texts have the empty set: n_shingles 0,
@@ -106,6 +105,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("both") * 100 >= (F.size("a") + F.size("b") - F.col("both")) * percent).select("u", "v")
 
 
+def _second_round(spark: SparkSession, left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (u, v) that are missing between components of one soup: (soup, members, rep, n, component, grams).
+
+    A soup's pivot is its set P nearest to the shingles that most members have. With D(x) the symmetric
+    difference of x and P, that of two sets is that of their D's, and a linked pair differs in at most
+    t * (sizes) shingles, t = (100 - percent) / (100 + percent). A set x that isn't linked with P has
+    more than t * (|x| + |P|) of them in D(x), so any partner y shares at least
+    (|D(x)| + |D(y)| - t * (|x| + |y|)) / 2 > 0. Only shingles in two D's can be shared, which leaves little
+    of edited copies, whose edits are mostly their own; a prefix of those, the rare ones first, must meet.
+    """
+    t = (100 - percent) / (100 + percent)
+    common = left.select("soup", "members", F.explode("grams").alias("gram")).groupBy("soup", "gram").agg(F.count("*").alias("df"), F.first("members").alias("members")).where("df * 2 >= members")
+    common = checkpointed(spark, common.groupBy("soup").agg(F.collect_list("gram").alias("common")))
+    near = left.join(common, "soup").select("soup", F.struct((2 * F.size(F.array_intersect("grams", "common")) - F.col("n")).alias("fit"), (-F.col("rep")).alias("minus"), F.col("n").alias("np")).alias("best"))
+    pivots = near.groupBy("soup").agg(F.max("best").alias("best")).select("soup", (-F.col("best.minus")).alias("pivot"), F.col("best.np").alias("np"))
+    pivots = checkpointed(spark, pivots.join(sets.toDF("pivot", "pivot_grams"), "pivot"))
+    apart = left.join(pivots, "soup").withColumn("d", F.concat(F.array_except("grams", "pivot_grams"), F.array_except("pivot_grams", "grams"))).drop("grams", "pivot_grams")
+    both = (F.col("n") + F.col("np") - F.size("d")) / 2
+    apart = checkpointed(spark, apart.withColumn("linked", both * 100 >= (F.col("n") + F.col("np") - both) * percent).withColumn("size_d", F.size("d")))
+    spokes = apart.where("linked and rep <> pivot").select(F.least("pivot", "rep").alias("u"), F.greatest("pivot", "rep").alias("v"))
+    main = apart.where("linked").select("soup", "component").distinct().withColumn("main", F.lit(True))
+    apart = apart.join(main, ["soup", "component"], "left").withColumn("part", F.when(F.col("main"), F.lit(-1)).otherwise(F.col("component")))
+
+    whole = lambda x: F.ceil(x - 1e-9)
+    stray = F.col("part") != -1
+    ratio = 100 / percent
+    least = F.greatest(F.lit(1), whole((F.col("size_d") + t * (F.col("np") - F.col("n"))) / 2), F.when(stray, whole(F.col("size_d") - t * F.col("n") * (1 + ratio))).otherwise(1))
+    entries = checkpointed(spark, apart.select("soup", "rep", "n", "part", "size_d", least.alias("least"), F.explode("d").alias("gram")))
+    df = entries.groupBy("soup", "gram").agg(F.count("*").alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("df > 1 and lo <> hi").select("soup", "gram", "df")
+    own = Window.partitionBy("soup", "rep")
+    met = entries.join(df, ["soup", "gram"]).withColumn("shared", F.count("*").over(own)).where("shared >= least").withColumn("rank", F.row_number().over(own.orderBy("df", "gram")))
+    prefix = checkpointed(spark, met.where("rank <= shared - least + 1").select("soup", "gram", "rep", "n", "part", "size_d", "shared"))
+    a = prefix.where(stray).select("soup", "gram", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "part", "size_d", "shared")))
+    need = whole((F.col("size_d") + F.col("size_d_a") - t * (F.col("n") + F.col("n_a"))) / 2)
+    fits = F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent
+    pairs = a.join(prefix, ["soup", "gram"]).where((F.col("part") != F.col("part_a")) & fits & (F.least("shared", "shared_a") >= need))
+    pairs = pairs.select(F.least("rep", "rep_a").alias("u"), F.greatest("rep", "rep_a").alias("v")).distinct()
+    return checkpointed(spark, spokes.unionByName(_verified(pairs, sets, percent)))
+
+
 def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc, n, component) for every row: set size and the smallest id that links lead to."""
     docs = docs.select(key, text)
@@ -122,18 +161,12 @@ def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     edges = checkpointed(spark, _verified(pairs, sets, percent))
     found = components(spark, edges)
 
-    # The second round: buckets that the first one left in several components.
-    placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("rep", "component")).alias("first")).where("lo <> hi").select("bucket", F.col("first.component").alias("main"))
-    left = checkpointed(spark, placed.join(open_, "bucket").select("bucket", "rep", "n", "component", "main"))
+    soups = components(spark, shared.where("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")))
+    placed = soups.toDF("rep", "soup").join(shared.select("rep", "n").distinct(), "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_ = placed.groupBy("soup").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("soup", "members")
+    left = checkpointed(spark, placed.join(open_, "soup").join(sets.withColumnRenamed("doc", "rep"), "rep"))
     if not left.isEmpty():
-        grams = left.join(sets.withColumnRenamed("doc", "rep"), "rep").select("bucket", "rep", "n", "component", "main", F.explode("grams").alias("gram"))
-        rarity = grams.groupBy("bucket", "gram").agg(F.count("*").alias("df"))
-        rank = F.row_number().over(Window.partitionBy("bucket", "rep").orderBy("df", "gram"))
-        prefix = checkpointed(spark, grams.join(rarity, ["bucket", "gram"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).drop("rank", "df"))
-        stray = prefix.where("component <> main").select("bucket", "gram", F.col("rep").alias("u"), F.col("n").alias("m"), F.col("component").alias("cu"))
-        more = stray.join(prefix, ["bucket", "gram"]).where((F.col("cu") != F.col("component")) & fits).select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
-        edges = edges.unionByName(_verified(more, sets, percent))
+        edges = edges.unionByName(_second_round(spark, left, sets, percent))
         found = components(spark, edges)
 
     by_class = classes.select("fp1", "fp2", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"))
