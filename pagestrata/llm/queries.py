@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagestrata.llm import decontamination, language_id, license_scan, line_dedup, mixing, mtree, near_dedup, packing, token_counts
+from pagestrata.llm import decontamination, language_id, license_scan, line_dedup, mixing, mtree, near_dedup, packing, personal_data, token_counts
 
-MODULES = (language_id, near_dedup, license_scan, decontamination, line_dedup, mtree, mixing, packing, token_counts)
+MODULES = (language_id, near_dedup, license_scan, personal_data, decontamination, line_dedup, mtree, mixing, packing, token_counts)
 
 
 def queries() -> dict:
