@@ -16,7 +16,6 @@ id is no candidate. Shorter vectors count as padded with zeros. A table with one
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pagestrata.llm.common import checkpointed
 
 SCALE, TOP, EVERY = 256, 5, 50
 #: Rows of the sample, routing objects, rows of a page, rows of a leaf, queries that meet a page at once.
-SAMPLE, ROUTES, PAGE, LEAF, BLOCK = 2_048, 64, 4_096, 48, 2_048
+SAMPLE, ROUTES, PAGE, LEAF, BLOCK = 2_048, 64, 4_096, 128, 2_048
 SLACK = 1e-6
 
 
@@ -62,77 +61,91 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, d))
 
 
-class Node:
-    __slots__ = ("centre", "children", "own", "radius", "rows", "to_parent")
-
-    def __init__(self, centre, rows, own, children):
-        self.centre, self.rows, self.own, self.children = centre, rows, own, children
-        self.radius, self.to_parent = float(own.max(initial=0)), 0.0
-
-
 class Tree:
-    """An M-tree over whole vectors, built top down: each node's rows split among routing objects drawn from them."""
+    """An M-tree over whole vectors, built top down and kept by levels.
+
+    A level has the nodes' centres, covering radii, parents and distances to them; leaves also have
+    their rows and each row's distance to the centre.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, most: float, leaf: int = LEAF, fan: int = 12, seed: int = 0):
         self.ids, self.vectors, self.points = ids, vectors, extend(vectors, most)
-        self.draw = np.random.default_rng(seed)
-        self.root = self._node(np.arange(len(ids)), self.points.mean(axis=0), leaf, fan)
-
-    def _node(self, rows: np.ndarray, centre: np.ndarray, leaf: int, fan: int) -> Node:
-        own = distances(self.points[rows], centre[None])[:, 0]
-        node = Node(centre, rows, own, [])
-        if len(rows) > leaf and own.max() > 0:
-            routes = self.points[self.draw.choice(rows, fan, replace=False)]
-            near = distances(self.points[rows], routes).argmin(axis=1)
-            parts = [rows[near == i] for i in range(fan)]
-            parts = [p for p in parts if len(p)]
-            if len(parts) > 1:
-                for p in parts:
-                    child = self._node(p, self.points[p].mean(axis=0), leaf, fan)
-                    child.to_parent = float(np.sqrt(((child.centre - centre) ** 2).sum()))
-                    node.children.append(child)
-                node.rows = node.own = None
-        return node
-
-    def search(self, query: np.ndarray, own: int, k: int, floor: float, most: float) -> list[tuple[int, int]]:
-        """The k best (score, id) with a score of at least ``floor``, without the id ``own``."""
-        point = np.append(query, 0.0)
-        norm = float(query @ query) + most
-        best: list[tuple[int, int]] = []  # a heap: the worst first
-        reach = lambda score: np.sqrt(max(0.0, norm - 2 * score)) * (1 + SLACK) + SLACK
-        radius = reach(floor) if floor > -np.inf else np.inf
-        root = self.root
-        queue = [(0.0, 0, root, float(np.sqrt(((root.centre - point) ** 2).sum())))]
-        count = 0
-        while queue:
-            bound, _, node, d = heapq.heappop(queue)
-            if bound > radius:
+        draw = np.random.default_rng(seed)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.leaves: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # level, node, rows, distances to the centre
+        groups = [(0, np.arange(len(ids)))]
+        while groups:
+            centres = np.array([self.points[rows].mean(axis=0) for _, rows in groups])
+            parents = np.array([p for p, _ in groups])
+            above = self.levels[-1][0][parents] if self.levels else centres
+            radii, below = np.zeros(len(groups)), []
+            for i, (_, rows) in enumerate(groups):
+                own = distances(self.points[rows], centres[i : i + 1])[:, 0]
+                radii[i] = own.max()
+                parts = []
+                if len(rows) > leaf and own.max() > SLACK:
+                    routes = self.points[draw.choice(rows, fan, replace=False)]
+                    near = distances(self.points[rows], routes).argmin(axis=1)
+                    parts = [p for j in range(fan) if len(p := rows[near == j])]
+                if len(parts) > 1:
+                    below += [(i, p) for p in parts]
+                else:
+                    self.leaves.append((len(self.levels), i, rows, own))
+            self.levels.append((centres, radii, parents, np.sqrt(((centres - above) ** 2).sum(axis=1))))
+            groups = below
+
+    def search(self, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k best ids and scores of each query, -1 where there are fewer: among those that reach its floor, without its own id.
+
+        Best first for each query; the queries that come to a leaf at the same step share its products.
+        """
+        n = len(queries)
+        points = np.hstack([queries, np.zeros((n, 1))])
+        norm = (queries * queries).sum(axis=1) + most
+        reach = lambda score, norm: np.sqrt(np.maximum(0, norm - 2 * score)) * (1 + SLACK) + SLACK
+        with np.errstate(invalid="ignore"):
+            radius = reach(floor, norm)
+        low, far, kept = None, None, []
+        for level, (centres, radii, parents, to_parent) in enumerate(self.levels):
+            if low is None:
+                bound = np.zeros((n, len(centres)))
+            else:  # the parents' distances rule nodes out before any distance to them is taken
+                bound = np.maximum(low[:, parents], np.abs(far[:, parents] - to_parent) - radii)
+            open_ = (bound <= radius[:, None]).any(axis=0)
+            there = np.full(bound.shape, np.inf)
+            there[:, open_] = distances(points, centres[open_])
+            low, far = np.maximum(bound, there - radii), there
+            kept += [(low[:, i], far[:, i], rows, dist) for at, i, rows, dist in self.leaves if at == level]
+        lows = np.stack([b for b, *_ in kept], axis=1)
+        order = np.argsort(lows, axis=1, kind="stable")
+        ids = np.full((n, k), np.iinfo(np.int64).max)
+        scores = np.full((n, k), -np.inf)
+        active = np.arange(n)
+        for step in range(len(kept)):
+            leaf = order[active, step]
+            on = lows[active, leaf] <= radius[active]
+            active, leaf = active[on], leaf[on]
+            if not len(active):
                 break
-            if node.children:
-                for child in node.children:
-                    if abs(d - child.to_parent) - child.radius > radius:
-                        continue
-                    there = float(np.sqrt(((child.centre - point) ** 2).sum()))
-                    low = max(bound, there - child.radius)
-                    if low <= radius:
-                        count += 1
-                        heapq.heappush(queue, (low, count, child, there))
-                continue
-            rows = node.rows[np.abs(node.own - d) <= radius]
-            if not len(rows):
-                continue
-            scores = products(query[None], self.vectors[rows])[0]
-            for i in np.flatnonzero(scores >= (best[0][0] if len(best) == k else floor)):
-                entry = (int(scores[i]), -int(self.ids[rows[i]]))
-                if -entry[1] == own or entry[0] < floor:
+            for j in np.unique(leaf):
+                q = active[leaf == j]
+                _, d, rows, dist = kept[j]
+                rows = rows[(np.abs(dist[None] - d[q, None]) <= radius[q, None]).any(axis=0)]
+                if not len(rows):
+                    continue
+                found = products(queries[q], self.vectors[rows]).astype(np.float64)
+                found[(found < floor[q, None]) | (self.ids[rows][None] == own[q, None])] = -np.inf
+                better = (found >= scores[q, -1:]).any(axis=1)
+                q, found = q[better], found[better]
+                if not len(q):
                     continue
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-            if len(best) == k:
-                radius = min(radius, reach(best[0][0]))
-        return [(s, -i) for s, i in best]
+                all_ids = np.hstack([ids[q], np.broadcast_to(self.ids[rows], found.shape)])
+                all_scores = np.hstack([scores[q], found])
+                top = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+                ids[q], scores[q] = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_scores, top, 1)
+                full = q[scores[q, -1] > -np.inf]
+                radius[full] = np.minimum(radius[full], reach(scores[full, -1], norm[full]))
+        return np.where(scores > -np.inf, ids, -1), scores
 
 
 def top_k(spark: SparkSession, table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = EVERY, k: int = TOP, scale: int = SCALE) -> DataFrame:
@@ -188,13 +201,15 @@ def top_k(spark: SparkSession, table: DataFrame, key: str = "vec_id", vector: st
     spread = paged.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(page: pa.Table, asks: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
+        found = [[], [], []]
         if page.num_rows and asks.num_rows:
             page = page.sort_by("id")
             tree = Tree(page["id"].to_numpy(), whole(page["x"], dim, scale), most)
-            for own, x, floor in zip(asks["id"].to_pylist(), whole(asks["x"], dim, scale), asks["floor"].to_pylist(), strict=True):
-                found += [(own, i, s) for s, i in tree.search(x, own, k, floor, most)]
-        return pa.table({n: pa.array([f[c] for f in found], pa.int64()) for c, n in enumerate(("query_id", "id", "score"))})
+            own = asks["id"].to_numpy()
+            ids, scores = tree.search(whole(asks["x"], dim, scale), own, asks["floor"].to_numpy(), k, most)
+            row, col = np.nonzero(ids >= 0)
+            found = [own[row], ids[row, col], scores[row, col].astype(np.int64)]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "id", "score"), found, strict=True)})
 
     keys = ["route", "page", "block"]
     found = spread.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, "query_id long, id long, score long")
