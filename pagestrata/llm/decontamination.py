@@ -31,8 +31,8 @@ BROADCAST_ROWS = 1_000_000
 
 
 def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame, marked for broadcast if it has at most so many rows."""
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+    """The frame, marked for broadcast if it has at most so many rows, and for a join by shuffle otherwise."""
+    return frame.hint("broadcast" if frame.limit(rows + 1).count() <= rows else "merge")
 
 
 def _words(text: str) -> F.Column:
@@ -103,11 +103,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, key: st
 
     classes = windows.groupBy("c1", "c2").agg(F.first("hashes").alias("hashes"))
     classes = checkpointed(spark, classes.select("*", *_simhash("hashes")))
-    keyed = classes.select("c1", "c2", "hashes", "f1", "f2", F.posexplode(_blocks()).alias("block", "value"))
+    keyed = classes.select("c1", "c2", "f1", "f2", F.posexplode(_blocks()).alias("block", "value"))
     masks = F.array(*map(F.lit, _masks()))
-    index = known.select("item", F.col("hashes").alias("item_hashes"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.posexplode(_blocks()).alias("block", "v")).withColumn("value", F.explode(F.transform(masks, lambda x: x.bitwiseXOR(F.col("v"))))).drop("v")
+    index = known.select("item", F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.posexplode(_blocks()).alias("block", "v")).withColumn("value", F.explode(F.transform(masks, lambda x: x.bitwiseXOR(F.col("v"))))).drop("v")
     far = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
-    met = keyed.join(index, ["block", "value"]).where(far <= RADIUS).groupBy("c1", "c2", "item").agg(F.first("hashes").alias("a"), F.first("item_hashes").alias("b"))
+    met = keyed.join(small(index), ["block", "value"]).where(far <= RADIUS).select("c1", "c2", "item").distinct()
+    met = met.join(classes.select("c1", "c2", F.col("hashes").alias("a")), ["c1", "c2"]).join(known.select("item", F.col("hashes").alias("b")), "item")
     met = met.select("c1", "c2", "item", _tagged(F.col("a")).alias("a"), _tagged(F.col("b")).alias("b")).withColumn("both", F.size(F.array_intersect("a", "b")))
     sure = met.select("c1", "c2", "item", (F.col("both") / (F.size("a") + F.size("b") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= similarity)
     best = windows.select("doc", "start", "n", "c1", "c2").join(checkpointed(spark, sure), ["c1", "c2"]).groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n")).alias("b"))
