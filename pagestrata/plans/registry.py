@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pagestrata.plans import activity, pages, similarity
+
 FLAGSHIP = "search_topk"
-MODULES: tuple = ()
+MODULES = (pages, activity, similarity)
 
 
 def queries() -> dict:

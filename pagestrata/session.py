@@ -26,3 +26,11 @@ def session(app: str = "pagestrata", cpus: int | str = "*", **conf: str) -> Spar
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by Spark's own reader so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """Cuts the lineage in the folder that the cluster shares; a lost executor then costs no rerun of the plan before."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/pagestrata")
+    return frame.checkpoint(eager=True)
