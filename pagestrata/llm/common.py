@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from pagestrata.session import checkpointed  # noqa: F401
 
 #: White space of the word rule: space and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,37 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ascii_lower(col):
-    """Lower-cases A-Z alone; lower() would also touch other letters."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def words_of(col):
-    """The words of a text as an array; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(col, F.lit("")), SPACE), lambda w: w != "")
-
-
-def checkpointed(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the cluster shares, so that a lost executor costs no rerun of the plan before."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or "/tmp/checkpoints/pagestrata")
-    return frame.checkpoint(eager=True)
-
-
-def map_texts(frame: DataFrame, columns: list[str], schema: str, work: Callable[..., dict], chunk_bytes: int = 8 << 20, text: str = "text") -> DataFrame:
-    """Maps Arrow batches with ``work(columns...) -> arrays by name``, some ``chunk_bytes`` of ``text`` at a time so that memory stays bounded."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, text, chunk_bytes):
-                out = work(*(part.column(c) for c in columns))
-                yield pa.RecordBatch.from_pydict(out)
-
-    return frame.select(*columns).mapInArrow(run, schema)
-
-
 def pieces(batch: pa.RecordBatch, text: str, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about ``chunk_bytes`` of text each, one row at least."""
     if not batch.num_rows:

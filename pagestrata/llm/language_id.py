@@ -231,7 +231,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = identify(spark, docs, learn(docs))
-    return found.select("doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score", "spans")
+    return found.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
 #: A text is rejected if it is ``und``, or if its score is below this many times what equal odds would give.

@@ -42,14 +42,14 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, key: str, text: str, li
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
-    """``docs`` with ``text`` rid of repeated passages, and n_lines, n_removed. A text whose lines all go is empty."""
+    """``docs`` with ``text`` rid of repeated passages, and n_lines, n_removed, which replace columns of those names. A text whose lines all go is empty."""
     covered = repeated_lines(spark, docs, key, text, lines).withColumnRenamed("covered", "_covered")
     met = docs.join(covered, key, "left").withColumn("_lines", _lines(text))
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
     met = met.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("long"))
     cleaned = F.when(F.col("_covered").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return met.withColumn(text, cleaned).select(*docs.columns, "n_lines", "n_removed")
+    return met.withColumn(text, cleaned).select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

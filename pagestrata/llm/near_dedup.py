@@ -13,7 +13,8 @@ _second_round). No pairs are capped, and a soup of edited copies costs about a p
 
 With 26 bands of 6 components, a pair at similarity 0.85 meets in some bucket with a chance of
 1 - 4.5e-6, and higher pairs with more. Null, empty and blank texts have the empty set: n_shingles 0,
-linked with nothing. Rows with equal ids are taken as one document's rows.
+linked with nothing. Rows with equal ids are taken as one document's rows; a row without id is no other row's
+smallest and is kept.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagestrata.llm.common import checkpointed, documents, pieces
-from pagestrata.llm.components import components
+from pagestrata.operators.graph import components
 from pagestrata.llm.shingles import distinct, mix, shingle_hashes
 
 BANDS, ROWS, PERCENT = 26, 6, 85
@@ -176,13 +177,13 @@ def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = link(spark, documents(spark, sf_dir))
-    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, with its columns."""
-    kept = link(spark, docs).where("doc = component").select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Pipeline stage: one document of each group stays, with its columns, and one row of each id; rows without id stay."""
+    kept = link(spark, docs.where("doc_id IS NOT NULL")).where("doc = component").select(F.col("doc").alias("doc_id")).distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 QUERIES = {"op2_near_dedup": op2_near_dedup}
