@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pagestrata.plans import activity, pages, similarity
+from pagestrata.plans import activity, backfill, pages, similarity
 
 FLAGSHIP = "search_topk"
-MODULES = (pages, activity, similarity)
+MODULES = (pages, activity, similarity, backfill)
 
 
 def queries() -> dict:

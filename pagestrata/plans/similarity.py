@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagestrata.operators import labels, search, vectors
+from pagestrata.operators import labels, reports, search, vectors
 from pagestrata.session import table
 
 _QUERY_ID, _WORDS = 3, "the and of thing with"
@@ -106,7 +106,32 @@ def class_labels(spark, d):
     return labels.label(c).select("class", "label", F.size("terms").alias("n_terms"))
 
 
-QUERIES = {f.__name__: f for f in (search_topk, search_diverse, more_like_this, neighbour_table, shared_neighbours, snn_clusters, near_groups, label_centroids, cluster_members, parameter_sweep, communities, kmeans_clusters, similarity_profile, bm25_scores, hybrid_topk, query_shapes, class_terms, class_labels)}
+def neighbour_stability(spark, d):
+    """One neighbour table against the same in other blocks."""
+    rows = _rows(spark, d)
+    return vectors.stable_neighbours(vectors.neighbours(rows, 6, -2.0), vectors.neighbours(rows, 6, -2.0, block=100))
+
+
+def title_shares(spark, d):
+    return vectors.shares(_rows(spark, d).select(F.col("domain").alias("cluster"), "title"), "7")
+
+
+def variant_run(spark, d):
+    return vectors.run_variant(spark, _rows(spark, d), shared=2, least=3)
+
+
+def cluster_report(spark, d):
+    rows = _rows(spark, d)
+    r = reports.cluster_report(vectors.describe(rows.select("id", "x", F.col("domain").alias("cluster"))), rows)
+    return r.select("cluster", "size", "visits", F.array_join("titles", "; ").alias("titles"), F.array_join("domains", ",").alias("domains"))
+
+
+def same_clusters(spark, d):
+    rows = _rows(spark, d).select("id", F.col("domain").alias("cluster"))
+    return reports.same_clustering(rows, rows.withColumn("cluster", F.concat(F.lit("x"), "cluster")))
+
+
+QUERIES = {f.__name__: f for f in (search_topk, search_diverse, more_like_this, neighbour_table, shared_neighbours, snn_clusters, near_groups, label_centroids, cluster_members, parameter_sweep, communities, kmeans_clusters, similarity_profile, bm25_scores, hybrid_topk, query_shapes, class_terms, class_labels, neighbour_stability, title_shares, variant_run, cluster_report, same_clusters)}
 
 _S = f"SELECT e.vec_id AS id, CAST(e.label AS VARCHAR) AS domain, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id = {_QUERY_ID}"
 _N = "SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"
@@ -143,6 +168,11 @@ SELECT id, "group", CAST(row_number() OVER (PARTITION BY "group" ORDER BY id % 7
     "cluster_members": f"""WITH c AS (SELECT label, list(v ORDER BY d) AS c FROM ({_CENT}) GROUP BY 1), s AS (SELECT CAST(label AS VARCHAR) AS cluster, vec_id AS id, list_dot_product(embedding::DOUBLE[], c) AS sim FROM embeddings JOIN c USING (label))
 SELECT * FROM (SELECT cluster, id, round(sim, 6) AS sim, CAST(row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, id) AS INT) AS pos FROM s) WHERE pos <= 8""",
     "similarity_profile": f"SELECT round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.9), 6) AS p90, round(quantile_cont(sim, 0.99), 6) AS p99, round(quantile_cont(sim, 0.999), 6) AS p99_9, round(max(sim), 6) AS p100, count(*) AS pairs FROM ({_N}) WHERE src < dst",
+    "neighbour_stability": "SELECT vec_id AS src, TRUE AS same FROM embeddings",
+    "title_shares": "SELECT CAST(label AS VARCHAR) AS cluster, count(*) AS size, avg(CAST(contains(CAST(vec_id AS VARCHAR), '7') AS INT)) AS share FROM embeddings GROUP BY 1",
+    "cluster_report": f"""WITH c AS (SELECT label, list(v ORDER BY d) AS c FROM ({_CENT}) GROUP BY 1), s AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY list_dot_product(embedding::DOUBLE[], c) DESC, vec_id) AS pos FROM embeddings JOIN c USING (label))
+SELECT CAST(label AS VARCHAR) AS cluster, count(*) AS size, CAST(sum(vec_id % 7) AS BIGINT) AS visits, string_agg('title ' || vec_id, '; ' ORDER BY pos) FILTER (pos <= 8) AS titles, CAST(label AS VARCHAR) AS domains FROM s GROUP BY label""",
+    "same_clusters": "SELECT TRUE AS same",
     "bm25_scores": _BM + "SELECT id, round(bm25, 6) AS bm25 FROM b",
     "hybrid_topk": _BM.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))") + f""", c AS (SELECT s.id, score AS cosine, coalesce(bm25, 0) AS bm25 FROM ({_S}) s JOIN documents ON doc_id = s.id LEFT JOIN b ON b.id = s.id)
 SELECT id, round(0.5 * (cosine - min(cosine) OVER ()) / (max(cosine) OVER () - min(cosine) OVER ()) + 0.5 * (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()), 6) AS score FROM c ORDER BY 2 DESC, 1 LIMIT 10""",
