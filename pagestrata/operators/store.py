@@ -1,6 +1,7 @@
 """Keyed tables: upserts, merges, deletes, ranges, meta rows, exports.
 
-Parquet tables are replaced whole and atomically by a rename of versions; a reader sees the version it opened.
+A stored table is a folder of numbered versions with a list of the complete ones, so a reader always sees a whole
+version and a failed writer leaves the last one in place.
 """
 
 from __future__ import annotations
@@ -64,8 +65,30 @@ def migrate(pages: DataFrame) -> DataFrame:
     return pages.withColumn("vector_source", F.coalesce("vector_source", F.lit("title")) if "vector_source" in pages.columns else F.lit("title"))
 
 
-def write_table(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").parquet(path)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a stored table, in order."""
+    try:
+        return sorted(int(r.value) for r in spark.read.text(f"{path}/versions").collect())
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return []
+
+
+def load(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest version, or None."""
+    found = versions(spark, path)
+    return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
+
+
+def save(spark: SparkSession, frame: DataFrame, path: str, version: int | None = None) -> None:
+    """Writes a whole new version and then lists it; a version that is listed already stays as it is."""
+    found = versions(spark, path)
+    version = (found[-1] + 1 if found else 0) if version is None else version
+    if version in found:
+        return
+    frame.write.mode("overwrite").parquet(f"{path}/v{version}")
+    spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{path}/versions")
 
 
 def export_rows(pages: DataFrame) -> DataFrame:
@@ -97,8 +120,3 @@ def health(meta: DataFrame, now: int, stale: int = 3_600_000) -> DataFrame:
     old = F.coalesce(F.lit(now) - F.col("last_capture_at") > stale, F.lit(True))
     return meta.withColumn("is_stale", old).withColumn("is_orphan", old & F.coalesce(F.col("reloaded_at") > F.coalesce("last_capture_at", F.lit(0)), F.lit(False)))
 
-
-def replace(spark: SparkSession, frame: DataFrame, path: str) -> DataFrame:
-    """Writes a table and reads it back."""
-    write_table(frame, path)
-    return spark.read.parquet(path)

@@ -65,20 +65,10 @@ def run_drain(stream: DataFrame, pages_path: str, checkpoint: str, **trigger) ->
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            versions = sorted(int(r.value) for r in spark.read.text(f"{pages_path}/versions").collect())
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            versions = []
-        if number in versions:
-            return
-        new = queue(batch)
-        old = spark.read.parquet(f"{pages_path}/v{versions[-1]}") if versions else None
+        old = store.load(spark, pages_path)
         empty = spark.createDataFrame([], "id string, normalized_url string, topics array<string>, first_visit long, visit_count long, active_seconds long")
-        merged = store.merge_captures(empty if old is None else old, new)
-        (merged if old is None else store.upsert(old, merged)).write.mode("overwrite").parquet(f"{pages_path}/v{number}")
-        spark.createDataFrame([(str(number),)], "value string").write.mode("append").text(f"{pages_path}/versions")
+        merged = store.merge_captures(empty if old is None else old, queue(batch))
+        store.save(spark, merged if old is None else store.upsert(old, merged), pages_path, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
