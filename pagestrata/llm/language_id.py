@@ -29,6 +29,8 @@ PER_LANGUAGE, TRAIN_CHARS = 800, 8_000
 SWITCH, SCRIPT_SHARE = 12.0, 0.01
 BITS = 16
 ORDERS = (2, 3, 4)
+#: Bytes of text whose positions are scored at once.
+PART = 1 << 19
 
 #: First bytes of UTF-8 sequences by script range, as bits.
 _RANGES = {0x01: range(0xC2, 0xCC), 0x02: range(0xCE, 0xD0), 0x04: range(0xD0, 0xD5), 0x08: range(0xD6, 0xD8), 0x10: range(0xD8, 0xE0), 0x20: range(0xE0, 0xE1), 0x40: range(0xE1, 0xE2), 0x80: range(0xE3, 0xEE)}
@@ -100,12 +102,11 @@ class Model:
         allowed = np.array([[any(own[k, b] for b in range(8) if kind >> b & 1) for k in range(len(languages))] for kind in range(256)], bool).reshape(256, len(languages))
         return cls(languages, np.ascontiguousarray(logs.transpose(0, 2, 1), np.float32) / len(ORDERS), allowed)
 
-    def spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(label of each word, its posterior, bytes of each word, words before each text)."""
+    def word_scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score of each word by language, bytes of each word, words before each text)."""
         grams, first, kinds, size, at = _words(texts)
-        n = len(self.languages)
         if not len(first):
-            return np.zeros(0, np.int16), np.zeros(0), size, at
+            return np.zeros((0, len(self.languages)), np.float32), size, at
         scores = self.tables[0][grams[0]]
         for table, slots in zip(self.tables[1:], grams[1:], strict=True):
             scores += table[slots]
@@ -113,6 +114,19 @@ class Model:
         allowed = self.allowed[kinds]
         scores[~allowed.any(axis=1)] = 0
         scores[~allowed & allowed.any(axis=1, keepdims=True)] -= 30
+        return scores, size, at
+
+    def spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(label of each word, its posterior, bytes of each word, words before each text).
+
+        Positions are scored a part at a time, as they take far more room than words.
+        """
+        parts = [self.word_scores(p.column(0)) for p in pieces(pa.RecordBatch.from_arrays([texts], ["t"]), "t", PART)]
+        scores, size = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        before = np.cumsum([0, *(p[2][-1] for p in parts)])
+        at = np.concatenate([p[2][:-1] + b for p, b in zip(parts, before, strict=False)] + [before[-1:]])
+        if not len(scores):
+            return np.zeros(0, np.int16), np.zeros(0), size, at
         labels = viterbi(scores, at, SWITCH)
         odds = np.exp(scores - scores.max(axis=1, keepdims=True))
         return labels, odds[np.arange(len(labels)), labels] / odds.sum(axis=1), size, at
