@@ -30,9 +30,12 @@ def normalize_url(spark, d):
 
 def url_identity(spark, d):
     u = table(spark, d, "pages").withColumn("u", urls.parts(F.col("url")))
-    n = urls.normalize(F.col("u"))
-    w = u.withColumn("w", urls.path_words(F.col("url")))
-    return w.select("page_id", urls.hash_id(n).alias("id"), urls.stable_search(F.col("u.query")).alias("stable"), urls.navigation_key(F.col("u")).alias("navigation"), urls.is_search_page(F.col("u")).alias("is_search"), urls.sensitive(F.col("u")).alias("category"), urls.favicon(F.col("url")).alias("favicon"), F.array_join("w.words", " ").alias("words"), (F.size("w.path_only") >= 2).alias("usable"))
+    return u.select("page_id", urls.hash_id(urls.normalize(F.col("u"))).alias("id"), urls.stable_search(F.col("u.query")).alias("stable"), urls.navigation_key(F.col("u")).alias("navigation"), urls.is_search_page(F.col("u")).alias("is_search"), F.coalesce(urls.sensitive(F.col("u")), F.lit("none")).alias("category"), urls.favicon(F.col("url")).alias("favicon"))
+
+
+def url_words(spark, d):
+    w = table(spark, d, "pages").withColumn("w", urls.path_words(F.col("url")))
+    return w.select("page_id", F.array_join("w.words", " ").alias("words"), (F.size("w.path_only") >= 2).alias("usable"))
 
 
 def title_tails(spark, d):
@@ -133,7 +136,7 @@ def export_lines(spark, d):
     return store.export_markdown(page_rows(spark, d)).select("id", "day", "heading", "line")
 
 
-QUERIES = {f.__name__: f for f in (url_parts, normalize_url, url_identity, title_tails, title_checks, fold_visits, fold_per_visit, filter_pages, filter_audit, filter_reconcile, filter_samples, junk_titles, extraction, text_quality, preview_text, capture_gate, merge_pages, drain_queue, delete_pages, export_pages, export_lines)}
+QUERIES = {f.__name__: f for f in (url_parts, normalize_url, url_identity, url_words, title_tails, title_checks, fold_visits, fold_per_visit, filter_pages, filter_audit, filter_reconcile, filter_samples, junk_titles, extraction, text_quality, preview_text, capture_gate, merge_pages, drain_queue, delete_pages, export_pages, export_lines)}
 
 _TITLE = r"""trim(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'))"""
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '^www\.', '')"
@@ -173,6 +176,14 @@ SQL = {
     "junk_titles": _FILTER + "SELECT title, count(*) AS n FROM k WHERE reason = 'junk-title' GROUP BY 1",
     "url_parts": rf"SELECT page_id, {_HOST} AS domain, {_PATH} AS path, {_QUERY} AS query, regexp_extract(url, '(#.*)$', 1) AS fragment, FALSE AS is_local, {_FORMAT} AS format FROM pages",
     "normalize_url": f"SELECT page_id, {_NORMAL} AS normalized_url FROM pages",
+    "url_identity": rf"""WITH n AS (SELECT page_id, url, {_QUERY} AS q, {_PATH} AS p, regexp_extract(url, '(#.*)$', 1) AS f, list_transform(string_split({_NORMAL}, ''), lambda c: CAST(unicode(c) AS HUGEINT)) AS c FROM pages)
+SELECT page_id, printf('%08x', CAST(list_reduce(c, lambda h, x: (xor(h, x) * 16777619) % 4294967296, CAST(2166136261 AS HUGEINT)) AS BIGINT)) || printf('%08x', CAST(list_reduce(c, lambda h, x: (xor(h, x) * 2246822507) % 4294967296, CAST(16777619 AS HUGEINT)) AS BIGINT)) AS id,
+q AS stable, p || q || CASE WHEN starts_with(f, '#/') THEN f ELSE '' END AS navigation, FALSE AS is_search, 'none' AS category, '/_favicon/?pageUrl=' || url_encode(url) || '&size=32' AS favicon FROM n""",
+    "url_words": rf"""WITH h AS (SELECT page_id, {_HOST} AS bare, regexp_extract(url, '^https?://([^/?#:]*)', 1) AS host, {_PATH} || ' ' || {_QUERY} AS rest FROM pages),
+s AS (SELECT page_id, string_split_regex(host, '[.-]') AS labels, list_filter(string_split_regex(host || ' ' || rest, '[/\-_.?&=#%,:;()\[\]\s]+'), lambda w: length(w) >= 3 AND regexp_matches(w, '(?i)[a-z]') AND NOT regexp_matches(w, '(?i)^[a-f0-9]{{8,}}$') AND NOT (length(w) >= 10 AND regexp_matches(w, '[0-9]') AND NOT regexp_matches(w, '(?i)[aeiou]')) AND NOT list_contains(string_split('{fixed.PATH_STOPWORDS}', ' '), lower(w))) AS w FROM h),
+x AS (SELECT page_id, labels, w[i] AS word, i FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM s) WHERE list_position(list_transform(w, lambda y: lower(y)), lower(w[i])) = i),
+p AS (SELECT page_id, i, list_contains(labels, lower(word)) AS own, unnest(string_split(regexp_replace(word, '([a-z])([A-Z])', '\1 \2', 'g'), ' ')) AS piece FROM x)
+SELECT h.page_id, coalesce(string_agg(lower(piece), ' ' ORDER BY i) FILTER (length(piece) >= 3), '') AS words, count(*) FILTER (length(piece) >= 3 AND NOT own) >= 2 AS usable FROM h LEFT JOIN p USING (page_id) GROUP BY 1""",
     "title_tails": rf"""SELECT tail, count(*) AS n FROM (SELECT lower(trim(list_last(p))) AS tail FROM (SELECT string_split_regex({_TIDY}, '\s+[|–—·•:»~\-]\s+') AS p FROM ({_VISITS})) WHERE len(p) > 1 AND length(trim(list_last(p))) BETWEEN 1 AND 40) GROUP BY tail""",
     "fold_visits": f"""WITH v AS ({_EVENTS}), r AS (SELECT *, coalesce(visit_count > max(visit_count) OVER (PARTITION BY normalized_url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS rec FROM v)
 SELECT normalized_url, arg_max(url, seq) FILTER (rec) AS url, arg_min(domain, seq) AS domain, coalesce(arg_max(title, seq) FILTER (rec AND title <> ''), arg_min(title, seq) FILTER (title <> ''), '') AS title, max(last_visit) AS last_visit, max(visit_count) AS visit_count, max(typed_count) AS typed_count, count(*) AS rows, min(seq) AS seq FROM r GROUP BY normalized_url""",
