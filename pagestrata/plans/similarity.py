@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagestrata.functions import fixed
 from pagestrata.operators import labels, reports, search, vectors
 from pagestrata.session import table
 
@@ -103,7 +104,7 @@ def class_terms(spark, d):
 
 def class_labels(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("class"), F.concat_ws("-", "conv_id", "turn").alias("title_id"), F.col("text").alias("title"))
-    return labels.label(c).select("class", "label", F.size("terms").alias("n_terms"))
+    return labels.label(c).select("class", "label", F.coalesce(F.size("terms"), F.lit(-1)).alias("n_terms"))
 
 
 def neighbour_stability(spark, d):
@@ -141,6 +142,14 @@ _RUN = "[\\p{L}\\p{N}\\p{M}'']+"
 _TERMS = f"list_filter(regexp_extract_all(lower(text), '{_RUN}'), lambda w: length(w) >= 2 AND regexp_matches(w, '\\p{{L}}'))"
 
 
+def _snn(k: int, shared: int, floor: float, least: int) -> str:
+    near = _K.replace("0.2", str(floor)) + str(k)
+    return f"""WITH RECURSIVE k AS ({near}), m AS (SELECT a.src AS u, a.dst AS v FROM k a JOIN k b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst),
+e AS (SELECT u, v FROM m WHERE (SELECT count(*) FROM k a JOIN k b ON a.dst = b.dst WHERE a.src = u AND b.src = v AND a.dst <> v) >= {shared}), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r AS (SELECT u AS node, u AS c FROM s UNION SELECT s.v, r.c FROM r JOIN s ON r.node = s.u), g AS (SELECT node, min(c) AS c FROM r GROUP BY node), z AS (SELECT c FROM g GROUP BY c HAVING count(*) >= {least})
+SELECT vec_id AS id, z.c AS cluster FROM embeddings LEFT JOIN g ON g.node = vec_id LEFT JOIN z ON z.c = g.c"""
+
+
 def _diverse(scored: str, limit: int) -> str:
     return f"""WITH pool AS (SELECT * FROM ({scored}) ORDER BY score DESC, id LIMIT {limit * 6}), n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, id) > 3 AS o FROM pool)
 SELECT id, domain, round(score, 6) AS score FROM n ORDER BY o, score DESC, id LIMIT {limit}"""
@@ -158,10 +167,10 @@ SQL = {
     "neighbour_table": f"SELECT src, dst, rank, round(sim, 6) AS sim FROM ({_K} 5)",
     "shared_neighbours": f"""WITH k AS ({_K} 10), m AS (SELECT a.src AS u, a.dst AS v FROM k a JOIN k b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst)
 SELECT u, v, (SELECT count(*) FROM k a JOIN k b ON a.dst = b.dst WHERE a.src = u AND b.src = v AND a.dst <> v) >= 4 AS kept FROM m""",
-    "snn_clusters": f"""WITH RECURSIVE k AS ({_K} 10), m AS (SELECT a.src AS u, a.dst AS v FROM k a JOIN k b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst),
-e AS (SELECT u, v FROM m WHERE (SELECT count(*) FROM k a JOIN k b ON a.dst = b.dst WHERE a.src = u AND b.src = v AND a.dst <> v) >= 2), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-r AS (SELECT u AS node, u AS c FROM s UNION SELECT s.v, r.c FROM r JOIN s ON r.node = s.u), g AS (SELECT node, min(c) AS c FROM r GROUP BY node), z AS (SELECT c FROM g GROUP BY c HAVING count(*) >= 3)
-SELECT vec_id AS id, z.c AS cluster FROM embeddings LEFT JOIN g ON g.node = vec_id LEFT JOIN z ON z.c = g.c""",
+    "snn_clusters": _snn(10, 2, 0.2, 3),
+    "parameter_sweep": " UNION ALL ".join(f"""(SELECT 0.2::DOUBLE AS floor, {k} AS k, {m} AS shared, count(*) AS clusters, 1 - coalesce(sum(n), 0) / (SELECT count(*) FROM embeddings) AS noise, coalesce(max(n), 0) / (SELECT count(*) FROM embeddings) AS largest, coalesce(quantile_cont(n, 0.5), 0)::DOUBLE AS median_size,
+count(*) BETWEEN 30 AND 80 AND 1 - coalesce(sum(n), 0) / (SELECT count(*) FROM embeddings) < 0.35 AND coalesce(max(n), 0) / (SELECT count(*) FROM embeddings) < 0.10 AS in_band FROM (SELECT cluster, count(*) AS n FROM ({_snn(k, m, 0.2, 3)}) WHERE cluster IS NOT NULL GROUP BY 1))""" for k in (5, 10) for m in (2, 3)),
+    "variant_run": f"""SELECT (SELECT count(*) FROM embeddings) AS pages, (SELECT count(*) FROM embeddings) AS nodes, count(*) AS clusters, 1 - coalesce(sum(n), 0) / (SELECT count(*) FROM embeddings) AS noise, coalesce(max(n), 0) / (SELECT count(*) FROM embeddings) AS largest FROM (SELECT cluster, count(*) AS n FROM ({_snn(10, 2, 0.2, 3)}) WHERE cluster IS NOT NULL GROUP BY 1)""",
     "near_groups": f"""WITH RECURSIVE s AS (SELECT src AS u, dst AS v FROM ({_N}) WHERE sim >= 0.5), r AS (SELECT vec_id AS node, vec_id AS c FROM embeddings UNION SELECT s.v, r.c FROM r JOIN s ON r.node = s.u), g AS (SELECT node AS id, min(c) AS "group" FROM r GROUP BY node)
 SELECT id, "group", CAST(row_number() OVER (PARTITION BY "group" ORDER BY id % 7 DESC, length('title ' || id) DESC, id) - 1 AS INT) AS pos FROM g""",
     "label_centroids": f"SELECT CAST(label AS VARCHAR) AS domain, CAST(d AS INT) AS dim, round(v, 6) AS v FROM ({_CENT})",
@@ -178,6 +187,13 @@ SELECT CAST(label AS VARCHAR) AS cluster, count(*) AS size, CAST(sum(vec_id % 7)
 SELECT id, round(0.5 * (cosine - min(cosine) OVER ()) / (max(cosine) OVER () - min(cosine) OVER ()) + 0.5 * (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()), 6) AS score FROM c ORDER BY 2 DESC, 1 LIMIT 10""",
     "query_shapes": f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM ({_N}))
 SELECT src AS query, round(max(sim) FILTER (r = 1), 6) AS top1, round(max(sim) FILTER (r = 1) - max(sim) FILTER (r = 2), 6) AS gap12, round(max(sim) FILTER (r = 1) - max(sim) FILTER (r = 5), 6) AS gap15, round(stddev_pop(sim), 6) AS sd20 FROM k WHERE r <= 20 GROUP BY src""",
+    "class_labels": f"""WITH w AS (SELECT conv_id AS class, turn, {_TERMS} AS w FROM conversations), i AS (SELECT class, turn, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, range(1, 5) r(n)), ng AS (SELECT class, turn, n, w[i:i + n - 1] AS g FROM i),
+t AS (SELECT class, turn, n AS words, array_to_string(g, ' ') AS term FROM ng WHERE n = 1 OR NOT (list_contains(string_split('{fixed.BOUNDARY_STOPWORDS}', ' '), g[1]) OR list_contains(string_split('{fixed.BOUNDARY_STOPWORDS}', ' '), g[n]))),
+c AS (SELECT class, term, any_value(words) AS words, count(*) AS n, count(DISTINCT turn) AS titles FROM t GROUP BY 1, 2), tot AS (SELECT class, sum(n) AS total FROM c GROUP BY 1), df AS (SELECT term, count(*) AS df FROM c GROUP BY 1), sz AS (SELECT conv_id AS class, count(*) AS size FROM conversations GROUP BY 1),
+s AS (SELECT class, term, string_split(term, ' ') AS ws, row_number() OVER (PARTITION BY class ORDER BY n / total * ln(1 + (SELECT count(*) FROM sz) / df) * sqrt(words) DESC, term) AS r FROM c JOIN tot USING (class) JOIN df USING (term) JOIN sz USING (class) WHERE titles >= least(2, size)),
+a AS (SELECT * FROM s WHERE r = 1), b AS (SELECT s.class, arg_min(s.term, s.r) AS term FROM s JOIN a ON a.class = s.class AND NOT list_has_any(a.ws, s.ws) AND NOT contains(a.term, s.term) AND NOT contains(s.term, a.term) GROUP BY 1),
+k AS (SELECT class, least(8, count(*)) AS n_terms FROM s GROUP BY 1)
+SELECT sz.class, a.term || coalesce(' · ' || b.term, '') AS label, coalesce(CAST(n_terms AS INT), -1) AS n_terms FROM sz LEFT JOIN a USING (class) LEFT JOIN b USING (class) LEFT JOIN k USING (class)""",
     "class_terms": f"""WITH t AS (SELECT conv_id AS class, turn, unnest({_TERMS}) AS term FROM conversations), c AS (SELECT class, term, count(*) AS n, count(DISTINCT turn) AS titles FROM t GROUP BY 1, 2),
 tot AS (SELECT class, sum(n) AS total FROM c GROUP BY 1), df AS (SELECT term, count(*) AS df FROM c GROUP BY 1), sz AS (SELECT conv_id AS class, count(*) AS size FROM conversations GROUP BY 1)
 SELECT class, term, round(n / total * ln(1 + (SELECT count(*) FROM sz) / df), 8) AS score FROM c JOIN tot USING (class) JOIN df USING (term) JOIN sz USING (class) WHERE titles >= least(2, size)""",
