@@ -134,4 +134,19 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_decontamination": op5_decontamination}
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_decontamination": f"""
+WITH words AS (SELECT doc_id, string_split_regex(t, '{SPACE}') AS w FROM (SELECT doc_id, trim(lower(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents) WHERE t <> ''),
+item_words AS (SELECT item_id, string_split_regex(t, '{SPACE}') AS w FROM (SELECT item_id, trim(lower(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM benchmark) WHERE t <> ''),
+sized AS (SELECT item_id, w, len(w) AS n, least({SHINGLE}, len(w)) AS k FROM item_words),
+item_grams AS (SELECT item_id, n, k, p AS at, array_to_string(w[p + 1:p + k], ' ') AS h FROM (SELECT *, unnest(range(0, n - k + 1)) AS p FROM sized)),
+grams AS (SELECT doc_id, m, k, p, array_to_string(w[p + 1:p + k], ' ') AS h FROM (SELECT doc_id, w, len(w) AS m, k, unnest(range(0, len(w) - k + 1)) AS p FROM words, (SELECT DISTINCT k FROM sized))),
+windows AS (SELECT DISTINCT doc_id, k, g.p - i.at AS start, i.n FROM grams g JOIN item_grams i USING (k, h) WHERE g.p >= i.at AND g.p - i.at + i.n <= g.m),
+held AS (SELECT w.doc_id, w.start, w.n, w.k, g.h, count(*) AS c FROM windows w JOIN grams g ON g.doc_id = w.doc_id AND g.k = w.k AND g.p BETWEEN w.start AND w.start + w.n - w.k GROUP BY ALL),
+own AS (SELECT item_id, n, k, h, count(*) AS c FROM item_grams GROUP BY ALL),
+met AS (SELECT a.doc_id, b.item_id, a.start, sum(least(a.c, b.c)) AS common, any_value(a.n - a.k + 1 + b.n - b.k + 1) AS total FROM held a JOIN own b USING (h) GROUP BY a.doc_id, b.item_id, a.start, a.n),
+hits AS (SELECT doc_id, item_id, max(common / (total - common)) AS similarity FROM met WHERE common / (total - common) >= {SIMILARITY} GROUP BY 1, 2),
+marked AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items, max(similarity) AS similarity FROM hits GROUP BY 1)
+SELECT d.doc_id, m.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, coalesce(similarity, 0.0::DOUBLE) AS similarity FROM documents d LEFT JOIN marked m USING (doc_id)
+"""
+}
