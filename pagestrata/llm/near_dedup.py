@@ -120,13 +120,15 @@ def _second_round(spark: SparkSession, left: DataFrame, sets: DataFrame, percent
     common = left.select("soup", "members", F.explode("grams").alias("gram")).groupBy("soup", "gram").agg(F.count("*").alias("df"), F.first("members").alias("members")).where("df * 2 >= members")
     common = checkpointed(spark, common.groupBy("soup").agg(F.collect_list("gram").alias("common")))
     near = left.join(common, "soup").select("soup", F.struct((2 * F.size(F.array_intersect("grams", "common")) - F.col("n")).alias("fit"), (-F.col("rep")).alias("minus"), F.col("n").alias("np")).alias("best"))
+    # Small tables of their own here and below: an aggregate in the tasks of a join would keep a large soup in one of them.
+    near = checkpointed(spark, near)
     pivots = near.groupBy("soup").agg(F.max("best").alias("best")).select("soup", (-F.col("best.minus")).alias("pivot"), F.col("best.np").alias("np"))
     pivots = checkpointed(spark, pivots.join(sets.toDF("pivot", "pivot_grams"), "pivot"))
     apart = left.join(pivots, "soup").withColumn("d", F.concat(F.array_except("grams", "pivot_grams"), F.array_except("pivot_grams", "grams"))).drop("grams", "pivot_grams")
     both = (F.col("n") + F.col("np") - F.size("d")) / 2
     apart = checkpointed(spark, apart.withColumn("linked", both * 100 >= (F.col("n") + F.col("np") - both) * percent).withColumn("size_d", F.size("d")))
     spokes = apart.where("linked and rep <> pivot").select(F.least("pivot", "rep").alias("u"), F.greatest("pivot", "rep").alias("v"))
-    main = apart.where("linked").select("soup", "component").distinct().withColumn("main", F.lit(True))
+    main = checkpointed(spark, apart.where("linked").select("soup", "component").distinct().withColumn("main", F.lit(True)))
     apart = apart.join(main, ["soup", "component"], "left").withColumn("part", F.when(F.col("main"), F.lit(-1)).otherwise(F.col("component")))
 
     whole = lambda x: F.ceil(x - 1e-9)
@@ -135,6 +137,7 @@ def _second_round(spark: SparkSession, left: DataFrame, sets: DataFrame, percent
     least = F.greatest(F.lit(1), whole((F.col("size_d") + t * (F.col("np") - F.col("n"))) / 2), F.when(stray, whole(F.col("size_d") - t * F.col("n") * (1 + ratio))).otherwise(1))
     entries = checkpointed(spark, apart.select("soup", "rep", "n", "part", "size_d", least.alias("least"), F.explode("d").alias("gram")))
     df = entries.groupBy("soup", "gram").agg(F.count("*").alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("df > 1 and lo <> hi").select("soup", "gram", "df")
+    df = checkpointed(spark, df)
     own = Window.partitionBy("soup", "rep")
     met = entries.join(df, ["soup", "gram"]).withColumn("shared", F.count("*").over(own)).where("shared >= least").withColumn("rank", F.row_number().over(own.orderBy("df", "gram")))
     prefix = checkpointed(spark, met.where("rank <= shared - least + 1").select("soup", "gram", "rep", "n", "part", "size_d", "shared"))
@@ -165,7 +168,7 @@ def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     soups = components(spark, shared.where("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")))
     placed = soups.toDF("rep", "soup").join(shared.select("rep", "n").distinct(), "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = placed.groupBy("soup").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("soup", "members")
-    left = checkpointed(spark, placed.join(open_, "soup").join(sets.withColumnRenamed("doc", "rep"), "rep"))
+    left = checkpointed(spark, placed.join(checkpointed(spark, open_), "soup").join(sets.withColumnRenamed("doc", "rep"), "rep"))
     if not left.isEmpty():
         edges = edges.unionByName(_second_round(spark, left, sets, percent))
         found = components(spark, edges)
@@ -187,4 +190,17 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_near_dedup": op2_near_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_near_dedup": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS p FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM pairs JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
+sides AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS c FROM documents UNION SELECT s.v, r.c FROM reach r JOIN sides s ON r.node = s.u),
+found AS (SELECT node AS doc_id, min(c) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM found LEFT JOIN sizes USING (doc_id)
+"""
+}
