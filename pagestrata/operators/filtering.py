@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagestrata.functions import fixed, text, urls
+from pagestrata.session import checkpointed
 
 UNITS = {"no-url": "rows", "scheme": "rows", "localhost": "rows", "blocked": "rows", "search": "rows", "duplicate": "rows", "junk-title": "pages", "short-title": "pages"}
 
@@ -91,7 +92,8 @@ def filter_visits(visits: DataFrame, per_visit: bool = False, strip: bool = True
     rows = raw.where("reason IS NULL").select(
         urls.normalize(F.col("u")).alias("normalized_url"), "url", F.col("site").alias("domain"), text.tidy(F.col("title")).alias("title"), "last_visit",
         F.coalesce("visit_count", F.lit(1)).alias("visit_count"), F.coalesce("typed_count", F.lit(0)).alias("typed_count"), "seq")
-    candidates = fold(rows, per_visit)
+    # Written once: the suffixes, the verdicts and the audit all read it, and none repeats the first pass over raw rows.
+    candidates = checkpointed(visits.sparkSession, fold(rows, per_visit))
     # A suffix has at least 0.3 % of all titles, so there are at most 333 of them.
     suffixes = sorted(r.tail for r in boilerplate(candidates).collect()) if strip else []
     judged = second_pass(candidates, suffixes, strip)
