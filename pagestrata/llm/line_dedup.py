@@ -10,7 +10,8 @@ come back by a join that the runtime can split. A document's covered positions a
 gathered by document, never more than its lines.
 
 Null texts have no lines and stay null; texts of fewer than three lines keep all of theirs; an empty
-text is one empty line. Ids name documents: rows with one id and one text are the same document.
+text is one empty line. Ids name documents: rows with one id and one text are the same document;
+rows without id come last and keep all lines.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, key: str, text: str, li
         lambda i: F.struct(F.xxhash64(*(at(i + k) for k in range(lines))).alias("h1"), F.xxhash64(F.lit(lines), *(at(i + k) for k in range(lines))).alias("h2")),
     )
     windows = split.select("_doc", F.posexplode(hashed).alias("_pos", "_h")).select("_doc", "_pos", "_h.h1", "_h.h2")
-    first = windows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("_doc", "_pos")).alias("first")).where("c > 1").select("h1", "h2", F.col("first._doc").alias("first_doc"), F.col("first._pos").alias("first_pos"))
-    later = windows.join(checkpointed(spark, first), ["h1", "h2"]).where((F.col("_doc") != F.col("first_doc")) | (F.col("_pos") != F.col("first_pos")))
+    first = windows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_pos")).alias("first")).where("c > 1").select("h1", "h2", F.col("first._doc").alias("first_doc"), F.col("first._pos").alias("first_pos"))
+    later = windows.where("_doc IS NOT NULL").join(checkpointed(spark, first), ["h1", "h2"]).where((F.col("_doc") != F.col("first_doc")) | (F.col("_pos") != F.col("first_pos")))
     return later.groupBy(F.col("_doc").alias(key)).agg(F.collect_set("_pos").alias("_starts")).select(key, F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + lines - 1)))).alias("covered"))
 
 

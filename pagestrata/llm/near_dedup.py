@@ -13,8 +13,8 @@ _second_round). No pairs are capped, and a soup of edited copies costs about a p
 
 With 26 bands of 6 components, a pair at similarity 0.85 meets in some bucket with a chance of
 1 - 4.5e-6, and higher pairs with more. Null, empty and blank texts have the empty set: n_shingles 0,
-linked with nothing. Rows with equal ids are taken as one document's rows; a row without id is no other row's
-smallest and is kept.
+linked with nothing. Rows with equal ids are taken as one document's rows; a row without id is linked with nothing
+of its own and is kept.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     docs = docs.select(key, text)
     signed = checkpointed(spark, signatures(docs, key, text, k, bands, rows))
     classes = checkpointed(spark, signed.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")))
-    entries = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    entries = classes.where("rep IS NOT NULL").select("rep", "n", F.explode("bands").alias("bucket"))
     heads = entries.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").select("bucket", "head")
     shared = checkpointed(spark, entries.join(heads, "bucket").select("bucket", "rep", "n", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n")))
 
@@ -193,7 +193,8 @@ QUERIES = {"op2_near_dedup": op2_near_dedup}
 SQL = {
     "op2_near_dedup": rf"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 grams AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS p FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
 pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),

@@ -130,7 +130,8 @@ def edited(seed, groups=6, copies=25, length=120):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_dedup_groups(spark, seed):
     rows = edited(seed)
-    got = {r.doc: (r.n, r.component) for r in near_dedup.link(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    nameless = [(None, r[1] + " more", None, None, None) for r in rows[::9]]
+    got = {r.doc: (r.n, r.component) for r in near_dedup.link(spark, spark.createDataFrame(rows + nameless, DOCS)).collect() if r.doc is not None}
     assert got == brute.groups({r[0]: r[1] for r in rows})
 
 
@@ -270,9 +271,9 @@ def test_hamming_index_is_complete(spark):
 
 
 def test_line_dedup(spark, awkward, empty):
-    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "q\nq\nq\nq\nq"), (4, "a\nb"), (5, None), (6, "a\nb\nc\nd"), (7, "")]
+    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "q\nq\nq\nq\nq"), (4, "a\nb"), (5, None), (6, "a\nb\nc\nd"), (7, ""), (None, "a\nb\nc")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.drop_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("a\nb\nc\nd", 4, 0), 2: ("x\ny", 5, 3), 3: ("q", 5, 4), 4: ("a\nb", 2, 0), 5: (None, 0, 0), 6: ("", 4, 4), 7: ("", 1, 0)}
+    assert got == {1: ("a\nb\nc\nd", 4, 0), 2: ("x\ny", 5, 3), 3: ("q", 5, 4), 4: ("a\nb", 2, 0), 5: (None, 0, 0), 6: ("", 4, 4), 7: ("", 1, 0), None: ("a\nb\nc", 3, 0)}
     assert line_dedup.drop_repeats(spark, awkward).count() == len(AWKWARD) and line_dedup.drop_repeats(spark, empty).count() == 0
 
 
