@@ -1,8 +1,9 @@
 """Connected components of an edge table, without collecting it.
 
-Each task first contracts its own edges by union-find, a bounded number at a time; large-star and
-small-star rounds then join the tasks' forests. Rounds aggregate with map-side minima and join
-back, so a hub of any degree neither gathers in one task nor widens a row.
+Each task first contracts its own edges by union-find, a bounded number at a time. What the forests leave, if it
+has at most ``SMALL`` edges, is one more contraction in one task; beyond that, large-star and small-star rounds join the
+forests. Rounds aggregate with map-side minima and join back, so a hub of any degree neither gathers
+in one task nor widens a row. Both ways give the same components.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from pagestrata.session import checkpointed
 
 
+#: Edges that one task contracts: under a million nodes, some 100 MB.
+SMALL = 400_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     parent: dict[int, int] = {}
 
@@ -42,9 +47,16 @@ def _contract(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Itera
     yield out()
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, component) for every node of the edges (u, v); a component is named by its smallest node."""
-    edges = checkpointed(spark, edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, "u long, v long").distinct())
+    edges = checkpointed(spark, edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, "u long, v long"))
+    edges = checkpointed(spark, edges.coalesce(1).mapInArrow(_contract, "u long, v long")) if edges.count() <= small else _rounds(spark, edges.distinct())
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _rounds(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """The stars (u, v) of the components by large-star and small-star rounds."""
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Minima are tables of their own: a join of two plain exchanges is one whose hot keys the runtime can split.
@@ -55,5 +67,4 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         small = met.select("u", F.col("m").alias("v")).unionByName(met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         edges = checkpointed(spark, small)
         if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            return edges

@@ -153,7 +153,8 @@ def test_kmeans(spark):
     assert len({(i // 20, got[i]) for i in range(60)}) == 3
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 400_000])
+def test_components(spark, small):
     draw = random.Random(1)
     edges = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
     parent = {}
@@ -166,7 +167,7 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components(spark, spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in components(spark, spark.createDataFrame(edges, "u long, v long"), small).collect()}
     assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
 
 
