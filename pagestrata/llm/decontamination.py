@@ -1,10 +1,11 @@
 """Benchmark passages in documents: SimHash of item-sized windows, Hamming blocks, exact check.
 
 Words are lower-cased and split at white space; shingles are five words (an item with fewer words is one
-shingle). A window that shares no shingle with the benchmark is at similarity 0 to every item, so only
-windows that put one of an item's shingles where the item has it are looked at: an item's copy, in
-pieces or edited, is always among them. Each such window of the item's length gets a 128-bit SimHash
-over its shingles with multiplicity. The multi-index has eight blocks of 16 bits and, on the items'
+shingle). An item is compared with the windows of its length, and with the whole of a shorter document. A
+window that is moved right until it begins with one of the items' shingles, or until the document ends,
+loses none of them, so only windows that begin there are looked at, and of these only the ones that hold
+as many of the items' shingles as the threshold asks for: the best window of all is always among them.
+Each such window gets a 128-bit SimHash over its shingles with multiplicity. The multi-index has eight blocks of 16 bits and, on the items'
 side, every value within two bits of a block: by the pigeonhole principle all pairs at a Hamming distance
 of at most 23 meet. What meets is checked by the exact weighted Jaccard similarity of the shingle
 multisets, at 0.8 or more.
@@ -81,22 +82,27 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, key: st
     known = checkpointed(spark, known.select("item", "n", "k", F.slice(pick, 1, F.greatest(F.lit(0), F.col("n") - F.col("k") + 1)).alias("hashes")))
     known = checkpointed(spark, known.select("*", *_simhash("hashes")))
 
-    marks = checkpointed(spark, known.select("n", "k", F.posexplode("hashes").alias("at", "h")).distinct())
+    marks = checkpointed(spark, known.select("n", "k", F.explode("hashes").alias("h")).distinct())
     marks = small(marks)
     found = None
+    own = F.least("m", "n") - F.col("k") + 1
+    need = F.ceil(similarity * (own + F.col("n") - F.col("k") + 1) / (1 + similarity) - 1e-9).cast("int")
+    firsts = F.filter("at", lambda p, i: F.get("at", i + need - 1) < p + own)
+    starts = F.array_distinct(F.transform(firsts, lambda p: F.least(p, F.greatest(F.lit(0), F.col("m") - F.col("n")))))
     for s in sizes:
         placed = docs.select(F.col(key).alias("doc"), _words(text).alias("w")).where(F.size("w") >= s).withColumn("m", F.size("w"))
         placed = placed.select("doc", "m", F.posexplode(_shingles("w", s)).alias("pos", "h")).where(F.col("pos") <= F.col("m") - s)
-        hits = placed.join(marks.where(F.col("k") == s), "h").select("doc", "k", (F.col("pos") - F.col("at")).alias("start"), "n", "m").where("start >= 0 and start + n <= m").drop("m").distinct()
+        hits = placed.join(marks.where(F.col("k") == s), "h").groupBy("doc", "k", "n", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+        hits = hits.select("doc", "k", "m", F.explode(starts).alias("start"), F.least("m", "n").alias("n")).distinct()
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return known.select(F.lit(None).cast(docs.schema[key].dataType).alias(key), "item", F.lit(0).alias("first_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity")).where("false")
     found = checkpointed(spark, found)
 
     ids = small(found.select(F.col("doc").alias(key)).distinct())
-    spots = found.groupBy("doc").agg(F.collect_set(F.struct("k", "start", "n")).alias("spots"))
+    spots = found.groupBy("doc").agg(F.collect_set(F.struct("k", "start", "n", "m")).alias("spots"))
     near = docs.join(ids, key, "left_semi").select(F.col(key).alias("doc"), _words(text).alias("w")).join(spots, "doc")
-    near = near.select("doc", *(_shingles("w", s).alias(f"h{s}") for s in sizes), F.explode("spots").alias("spot")).select("doc", "spot.*", *(f"h{s}" for s in sizes))
+    near = near.select("doc", *(_shingles("w", s).alias(f"h{s}") for s in sizes), F.size("w").alias("words"), F.explode("spots").alias("spot")).where("spot.m = words").select("doc", "spot.*", *(f"h{s}" for s in sizes))
     own = F.coalesce(*(F.when(F.col("k") == s, F.slice(F.col(f"h{s}"), F.col("start") + 1, F.col("n") - s + 1)) for s in sizes))
     windows = near.select("doc", "start", "n", own.alias("hashes")).withColumn("c1", F.xxhash64("hashes")).withColumn("c2", F.xxhash64(F.lit(1), "hashes"))
     windows = checkpointed(spark, windows)
