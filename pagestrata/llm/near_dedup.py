@@ -113,7 +113,9 @@ def _second_round(spark: SparkSession, left: DataFrame, sets: DataFrame, percent
     difference of x and P, that of two sets is that of their D's, and a linked pair differs in at most
     t * (sizes) shingles, t = (100 - percent) / (100 + percent). A set x that isn't linked with P has
     more than t * (|x| + |P|) of them in D(x), so any partner y shares at least
-    (|D(x)| + |D(y)| - t * (|x| + |y|)) / 2 > 0. Only shingles in two D's can be shared, which leaves little
+    (|D(x)| + |D(y)| - t * (|x| + |y|)) / 2 > 0. Sets whose part isn't P's (strays) aren't linked with P, but
+    their partners may be: all that is known of y is its size, and x shares all of D(x) but t * (|x| + |y|).
+    Partners of the other sets are strays, so |D(y)| > t * (|y| + |P|) holds for them. Only shingles in two D's can be shared, which leaves little
     of edited copies, whose edits are mostly their own; a prefix of those, the rare ones first, must meet.
     """
     t = (100 - percent) / (100 + percent)
@@ -134,7 +136,7 @@ def _second_round(spark: SparkSession, left: DataFrame, sets: DataFrame, percent
     whole = lambda x: F.ceil(x - 1e-9)
     stray = F.col("part") != -1
     ratio = 100 / percent
-    least = F.greatest(F.lit(1), whole((F.col("size_d") + t * (F.col("np") - F.col("n"))) / 2), F.when(stray, whole(F.col("size_d") - t * F.col("n") * (1 + ratio))).otherwise(1))
+    least = F.greatest(F.lit(1), F.when(stray, whole(F.col("size_d") - t * F.col("n") * (1 + ratio))).otherwise(whole((F.col("size_d") + t * (F.col("np") - F.col("n"))) / 2)))
     entries = checkpointed(spark, apart.select("soup", "rep", "n", "part", "size_d", least.alias("least"), F.explode("d").alias("gram")))
     df = entries.groupBy("soup", "gram").agg(F.count("*").alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("df > 1 and lo <> hi").select("soup", "gram", "df")
     df = checkpointed(spark, df)

@@ -2,10 +2,12 @@
 
 import random
 from collections import Counter
+from itertools import permutations
 
+import brute
 from test_llm import DOCS
 
-from pagestrata.llm import decontamination
+from pagestrata.llm import decontamination, near_dedup
 
 
 def grams(words, k):
@@ -57,3 +59,21 @@ def test_decontamination_at_edges_and_in_short_documents(spark):
     items.append(" ".join(item))
     texts.append(" ".join([*fresh(draw, 20), *item[2:55], *fresh(draw, 5), *item[55:-3], *fresh(draw, 20)]))
     assert held_against_windows(spark, items, texts, 0.9) > 60
+
+
+def test_near_dedup_links_through_partners_of_the_pivot(spark):
+    # P, y with one shingle of P replaced, x with eight more of y: y links with both, x not with P. Ids in all orders.
+    rows, at = [], 0
+    for seed in range(12):
+        draw = random.Random(seed)
+        p = fresh(draw, 104)
+        y = [*p[:-1], *fresh(draw, 1)]
+        x = [*fresh(draw, 8), *y[8:]]
+        far = [[*fresh(draw, 1), *p[1:]] for _ in range(2)]
+        for ids in permutations(range(3)):
+            # A prefix to every word keeps the chains apart.
+            own = [*zip(ids, (p, y, x), strict=True), *((3 + i, f) for i, f in enumerate(far))]
+            rows += [(100 * at + i, " ".join(f"c{at}{w}" for w in words), "en", "a", 1) for i, words in own]
+            at += 1
+    got = {r.doc: (r.n, r.component) for r in near_dedup.link(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute.groups({r[0]: r[1] for r in rows})
