@@ -7,7 +7,9 @@ loses none of them, so only windows that begin there are looked at, and of these
 as many of the items' shingles as the threshold asks for: the best window of all is always among them.
 Each such window gets a 128-bit SimHash over its shingles with multiplicity. The multi-index has eight blocks of 16 bits and, on the items'
 side, every value within two bits of a block: by the pigeonhole principle all pairs at a Hamming distance
-of at most 23 meet. What meets is checked by the exact weighted Jaccard similarity of the shingle
+of at most 23 meet. Pairs at the threshold are often farther apart, so a window also meets every item of
+which it holds one of the rarest shingles, as many of them as a window at the threshold can't all lack;
+no pair at the threshold is left out then. What meets is checked by the exact weighted Jaccard similarity of the shingle
 multisets, at 0.8 or more.
 
 Windows of equal content are one class from the fingerprint on, so a passage in a third of all
@@ -22,6 +24,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagestrata.llm.common import SPACE, checkpointed, documents
 
@@ -73,6 +76,14 @@ def _masks() -> list[int]:
     return [sum(1 << b for b in bits) for r in range(BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), r)]
 
 
+def _rarest(items: DataFrame, similarity: float) -> DataFrame:
+    """(g, item): of each item's shingles the rarest ones, so many that every window at the threshold holds one of them."""
+    grams = items.select("item", F.explode(_tagged(F.col("hashes"))).alias("g"))
+    own = Window.partitionBy("item")
+    grams = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")), "g").withColumn("size", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "g")))
+    return grams.where(F.col("rank") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).select("g", "item")
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(key, item, first_word, n_words, similarity): an item's best window in each document that holds it."""
     known = items.select(F.col(item).alias("item"), _words(item_text).alias("w")).where("w is not null").withColumn("n", F.size("w"))
@@ -113,7 +124,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, key: st
     masks = F.array(*map(F.lit, _masks()))
     index = known.select("item", F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.posexplode(_blocks()).alias("block", "v")).withColumn("value", F.explode(F.transform(masks, lambda x: x.bitwiseXOR(F.col("v"))))).drop("v")
     far = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
-    met = keyed.join(small(index), ["block", "value"]).where(far <= RADIUS).select("c1", "c2", "item").distinct()
+    met = keyed.join(small(index), ["block", "value"]).where(far <= RADIUS).select("c1", "c2", "item")
+    rarest = small(checkpointed(spark, _rarest(known, similarity)))
+    met = met.unionByName(classes.select("c1", "c2", F.explode(_tagged(F.col("hashes"))).alias("g")).join(rarest, "g").select("c1", "c2", "item")).distinct()
     met = met.join(classes.select("c1", "c2", F.col("hashes").alias("a")), ["c1", "c2"]).join(known.select("item", F.col("hashes").alias("b")), "item")
     met = met.select("c1", "c2", "item", _tagged(F.col("a")).alias("a"), _tagged(F.col("b")).alias("b")).withColumn("both", F.size(F.array_intersect("a", "b")))
     sure = met.select("c1", "c2", "item", (F.col("both") / (F.size("a") + F.size("b") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= similarity)

@@ -77,3 +77,18 @@ def test_near_dedup_links_through_partners_of_the_pivot(spark):
             at += 1
     got = {r.doc: (r.n, r.component) for r in near_dedup.link(spark, spark.createDataFrame(rows, DOCS)).collect()}
     assert got == brute.groups({r[0]: r[1] for r in rows})
+
+
+def test_decontamination_near_the_threshold(spark):
+    draw, items, texts = random.Random(7), [], []
+    for n in (46, 50, 55, 59, 59, 60):
+        item = fresh(draw, n)
+        items.append(" ".join(item))
+        for _ in range(25):
+            i = draw.randrange(6, n - 8)
+            edit = [*item[:i], *fresh(draw, draw.choice((1, 2))), *item[i + draw.choice((1, 2)) :]]
+            texts.append(" ".join([*fresh(draw, 10), *edit, *fresh(draw, 10)]))
+    item = fresh(draw, 110)
+    items.append(" ".join(item))
+    texts.append(" ".join([*fresh(draw, 20), *item[2:55], *fresh(draw, 5), *item[55:-3], *fresh(draw, 20)]))
+    assert held_against_windows(spark, items, texts) > 60
