@@ -32,6 +32,8 @@ from pagestrata.operators.graph import components
 from pagestrata.llm.shingles import distinct, mix, shingle_hashes
 
 BANDS, ROWS, PERCENT = 26, 6, 85
+#: The pipeline's stage links at 80; 31 bands of 5 miss a pair at 0.80 with the chance that 26 of 6 have at 0.85.
+STAGE_BANDS, STAGE_ROWS, STAGE_PERCENT = 31, 5, 80
 CHUNK = 2 << 20
 
 
@@ -187,7 +189,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, with its columns, and one row of each id; rows without id stay."""
-    kept = link(spark, docs.where("doc_id IS NOT NULL")).where("doc = component").select(F.col("doc").alias("doc_id")).distinct()
+    kept = link(spark, docs.where("doc_id IS NOT NULL"), percent=STAGE_PERCENT, bands=STAGE_BANDS, rows=STAGE_ROWS).where("doc = component").select(F.col("doc").alias("doc_id")).distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 

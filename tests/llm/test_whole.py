@@ -92,3 +92,16 @@ def test_decontamination_near_the_threshold(spark):
     items.append(" ".join(item))
     texts.append(" ".join([*fresh(draw, 20), *item[2:55], *fresh(draw, 5), *item[55:-3], *fresh(draw, 20)]))
     assert held_against_windows(spark, items, texts) > 60
+
+
+def test_pipeline_near_dedup_takes_copies_from_80_percent(spark):
+    draw, rows = random.Random(11), []
+    for g in range(8):
+        words = fresh(draw, 104)
+        copy = [*fresh(draw, 10), *words[10:]]  # 90 of 110 shingles in common: 0.818
+        apart = [*fresh(draw, 13), *words[13:]]  # 87 of 113, 0.770; 87 of 113 with the copy too
+        rows += [(10 * g + i, " ".join(w), "en", "a", 1) for i, w in enumerate((words, copy, apart[:13] + fresh(draw, 3) + words[16:]))]
+    frame = spark.createDataFrame(rows, DOCS)
+    truth = {i for i, (_, c) in brute.groups({r[0]: r[1] for r in rows}, 80).items() if i == c}
+    assert len(truth) == 16 and {r.doc_id for r in near_dedup.keep_first(spark, frame, "").collect()} == truth
+    assert near_dedup.link(spark, frame).where("doc = component").count() == 24
