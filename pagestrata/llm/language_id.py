@@ -248,10 +248,22 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
-#: A text is rejected if it is ``und``, or if its score is below this many times what equal odds would give.
+#: A text is rejected if it is ``und``, or if its score is below this many times what equal odds would give. With one
+#: language scores tell nothing, and a text is rejected if over half of its words' bytes are outside that language's scripts.
 REJECT = 1.1
 
 
+def _in_scripts(model: Model, texts: pa.Array) -> np.ndarray:
+    """True where at least half of the words' bytes are of words in a learned script."""
+    parts = []
+    for p in pieces(pa.RecordBatch.from_arrays([texts], ["t"]), "t", PART):
+        _, _, kinds, size, at = _words(p.column(0))
+        owner = np.repeat(np.arange(p.num_rows), np.diff(at))
+        within = size * model.allowed[kinds].any(axis=1)
+        parts.append(np.bincount(owner, within, p.num_rows) * 2 >= np.bincount(owner, size, p.num_rows))
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is undetermined or doubtful go; one scan, no join."""
     model = spark.sparkContext.broadcast(learn(docs))
@@ -263,7 +275,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
                 texts = part.column("text")
                 langs, score, _ = label(model.value, texts)
                 dull = _no_letter(texts, pa.compute.match_substring_regex(texts.fill_null(""), "[A-Za-z]"))
-                keep = ~dull & (score >= REJECT / max(1, len(model.value.languages))) & np.array([x != "und" for x in langs], bool)
+                sure = score >= REJECT / len(model.value.languages) if len(model.value.languages) > 1 else _in_scripts(model.value, texts)
+                keep = ~dull & sure & np.array([x != "und" for x in langs], bool)
                 yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema).select(columns)

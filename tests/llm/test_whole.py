@@ -7,7 +7,7 @@ from itertools import permutations
 import brute
 from test_llm import DOCS
 
-from pagestrata.llm import decontamination, near_dedup
+from pagestrata.llm import decontamination, language_id, near_dedup
 
 
 def grams(words, k):
@@ -105,3 +105,10 @@ def test_pipeline_near_dedup_takes_copies_from_80_percent(spark):
     truth = {i for i, (_, c) in brute.groups({r[0]: r[1] for r in rows}, 80).items() if i == c}
     assert len(truth) == 16 and {r.doc_id for r in near_dedup.keep_first(spark, frame, "").collect()} == truth
     assert near_dedup.link(spark, frame).where("doc = component").count() == 24
+
+
+def test_pipeline_keeps_a_monolingual_corpus(spark):
+    rows = [(i, f"plain words of text number {i} in the only language", "en", "a", 1) for i in range(60)]
+    odd = [(100, "漢字 仮名 交じり 文章", None, "a", 1), (101, "12 34", None, "a", 1), (102, None, None, "a", 1), (103, "", None, "a", 1)]
+    kept = language_id.keep_identified(spark, spark.createDataFrame(rows + odd, DOCS), "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(60))
