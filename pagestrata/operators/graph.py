@@ -1,27 +1,26 @@
 """Connected components of an edge table, without collecting it.
 
-Each task first contracts its own edges by union-find, a bounded number at a time. What the forests leave, if it
-has at most ``SMALL`` edges, is one more contraction in one task; beyond that, large-star and small-star rounds join the
-forests. Rounds aggregate with map-side minima and join back, so a hub of any degree neither gathers
-in one task nor widens a row. Both ways give the same components.
+Each task first contracts its own edges by union-find, a bounded number of nodes at a time; large-star and
+small-star rounds join the forests. Rounds aggregate with map-side minima and join back, so a hub of any
+degree neither gathers in one task nor widens a row. The plan is the same at every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata.session import checkpointed
 
+#: Nodes that a task's forest holds before it is passed on: some 40 MB.
+MOST = 250_000
 
-#: Edges that one task contracts: under a million nodes, some 100 MB.
-SMALL = 400_000
 
-
-def _contract(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _contract(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator[pa.RecordBatch]:
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -33,38 +32,47 @@ def _contract(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Itera
         return root
 
     def out() -> pa.RecordBatch:
-        stars = [(x, r) for x in parent if (r := find(x)) != x]
-        return pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], pa.int64()) for i in (0, 1)], ["u", "v"])
+        nodes = np.fromiter(parent, np.int64, len(parent))
+        roots = np.fromiter((find(int(x)) for x in nodes), np.int64, len(nodes))
+        below = nodes != roots
+        return pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(roots[below])], ["u", "v"])
 
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        if len(parent) >= most:
-            yield out()
-            parent.clear()
+        for i in range(0, batch.num_rows, 4_096):
+            part = batch.slice(i, 4_096)
+            for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if len(parent) >= most:
+                yield out()
+                parent.clear()
     yield out()
 
 
-def components(spark: SparkSession, edges: DataFrame, small: int = SMALL) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v); a component is named by its smallest node."""
-    edges = checkpointed(spark, edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, "u long, v long"))
-    edges = checkpointed(spark, edges.coalesce(1).mapInArrow(_contract, "u long, v long")) if edges.count() <= small else _rounds(spark, edges.distinct())
+    forests = edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, "u long, v long")
+    edges = checkpointed(spark, forests.distinct())
+    while not _stars(edges):
+        edges = _round(spark, edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _rounds(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """The stars (u, v) of the components by large-star and small-star rounds."""
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Minima are tables of their own: a join of two plain exchanges is one whose hot keys the runtime can split.
-        low = checkpointed(spark, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = checkpointed(spark, both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = checkpointed(spark, large.groupBy("u").agg(F.min("v").alias("m")))
-        met = large.join(low, "u")
-        small = met.select("u", F.col("m").alias("v")).unionByName(met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = checkpointed(spark, small)
-        if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
-            return edges
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge up, and none of its upper ends has one: one aggregation."""
+    sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+    return sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low")).agg(F.count_if(F.expr("up > 1 OR (up = 1 AND low = 1)"))).first()[0] == 0
+
+
+def _round(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # Minima are tables of their own: a join of two plain exchanges is one whose hot keys the runtime can split.
+    low = checkpointed(spark, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    large = checkpointed(spark, both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    low = checkpointed(spark, large.groupBy("u").agg(F.min("v").alias("m")))
+    met = large.join(low, "u")
+    small = met.select("u", F.col("m").alias("v")).unionByName(met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+    return checkpointed(spark, small)

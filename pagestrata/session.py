@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: AQE does the runtime work (coalescing, skew-join splits); the rest are sizes that hold at any input.
@@ -28,9 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in tests, has one of its own instead."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
 def checkpointed(spark: SparkSession, frame: DataFrame) -> DataFrame:
     """Cuts the lineage in the folder that the cluster shares; a lost executor then costs no rerun of the plan before."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/pagestrata")
+        context.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint(eager=True)
