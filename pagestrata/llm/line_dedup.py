@@ -10,8 +10,8 @@ come back by a join that the runtime can split. A document's covered positions a
 gathered by document, never more than its lines.
 
 Null texts have no lines and stay null; texts of fewer than three lines keep all of theirs; an empty
-text is one empty line. Ids name documents: rows with one id and one text are the same document;
-rows without id come last and keep all lines.
+text is one empty line. An id and a text name a document: rows that share both are the same document, rows that share
+only the id are different ones, in the order of a hash of their texts; rows without id come last and keep all lines.
 """
 
 from __future__ import annotations
@@ -29,28 +29,33 @@ def _lines(text: str) -> F.Column:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, key: str, text: str, lines: int = LINES) -> DataFrame:
-    """(key, covered): the positions, from 0, that later occurrences of a window cover."""
+    """(key, _hash, _covered): the positions, from 0, that later occurrences of a window cover in the rows of that id and text hash."""
     at = lambda i: F.get(F.col("_lines"), i)
-    split = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_doc"), _lines(text).alias("_lines")).where(F.size("_lines") >= lines)
+    split = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_doc"), F.xxhash64(text).alias("_hash"), _lines(text).alias("_lines")).where(F.size("_lines") >= lines)
     hashed = F.transform(
         F.sequence(F.lit(0), F.size("_lines") - lines),
         lambda i: F.struct(F.xxhash64(*(at(i + k) for k in range(lines))).alias("h1"), F.xxhash64(F.lit(lines), *(at(i + k) for k in range(lines))).alias("h2")),
     )
-    windows = split.select("_doc", F.posexplode(hashed).alias("_pos", "_h")).select("_doc", "_pos", "_h.h1", "_h.h2")
-    first = windows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_pos")).alias("first")).where("c > 1").select("h1", "h2", F.col("first._doc").alias("first_doc"), F.col("first._pos").alias("first_pos"))
-    later = windows.where("_doc IS NOT NULL").join(checkpointed(spark, first), ["h1", "h2"]).where((F.col("_doc") != F.col("first_doc")) | (F.col("_pos") != F.col("first_pos")))
-    return later.groupBy(F.col("_doc").alias(key)).agg(F.collect_set("_pos").alias("_starts")).select(key, F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + lines - 1)))).alias("covered"))
+    windows = split.select("_doc", "_hash", F.posexplode(hashed).alias("_pos", "_h")).select("_doc", "_hash", "_pos", "_h.h1", "_h.h2")
+    place = F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_hash", "_pos")
+    first = windows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").select("h1", "h2", "first")
+    later = windows.where("_doc IS NOT NULL").join(checkpointed(spark, first), ["h1", "h2"]).where(place != F.col("first"))
+    starts = later.groupBy(F.col("_doc").alias(key), "_hash").agg(F.collect_set("_pos").alias("_starts"))
+    return starts.select(key, "_hash", F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + lines - 1)))).alias("_covered"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
     """``docs`` with ``text`` rid of repeated passages, and n_lines, n_removed, which replace columns of those names. A text whose lines all go is empty."""
-    covered = repeated_lines(spark, docs, key, text, lines).withColumnRenamed("covered", "_covered")
-    met = docs.join(covered, key, "left").withColumn("_lines", _lines(text))
+    names = [c for c in docs.columns if c not in (key, text, "n_lines", "n_removed")]
+    rows = docs.select(key, text, F.xxhash64(text).alias("_hash"), *([F.struct(*names).alias("_rest")] if names else []))
+    met = rows.join(repeated_lines(spark, docs, key, text, lines), [key, "_hash"], "left").withColumn("_lines", _lines(text))
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
-    met = met.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("long"))
+    met = met.withColumn("_n", n.cast("long")).withColumn("_removed", F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("long"))
     cleaned = F.when(F.col("_covered").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return met.withColumn(text, cleaned).select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
+    made = met.withColumn(text, cleaned)
+    out = {c: F.col(c) if c in (key, text) else F.col(f"_rest.{c}") for c in docs.columns if c in (key, text) or c in names}
+    return made.select(*(v.alias(c) for c, v in out.items()), F.col("_n").alias("n_lines"), F.col("_removed").alias("n_removed"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
