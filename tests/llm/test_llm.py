@@ -299,6 +299,62 @@ def test_mtree_is_exact(spark, shape):
         assert [got[q][k] for k in range(1, 6)] == [(-s, i) for s, i in want]
 
 
+def best(v, ids, queries, k=5):
+    """{query: [(score, id)]} by comparing all."""
+    return {q: sorted((-min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(x, v[i], strict=True))), ids[i]) for i in range(len(v)) if ids[i] != q)[:k] for q, x in queries.items()}
+
+
+def lists(rows):
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        assert len(got[r.query_id]) == r["rank"]
+    return got
+
+
+@pytest.mark.parametrize("shape", ["random", "copies", "near"])
+def test_mtree_pages_and_blocks(spark, shape):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(1500, 4))
+    if shape == "copies":
+        x[200:1200] = x[5]
+    if shape == "near":
+        x = np.repeat(draw.normal(size=(15, 4)) * 3, 100, axis=0) + draw.normal(size=(1500, 4)) / 50
+    rows = [(i, v.tolist(), 1, 2, 3) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, page int, block int, id int")
+    got = lists(mtree.top_k(spark, frame, every=10, page=64, block=20, routes=4).collect())  # many pages a route, many blocks a page
+    v = np.floor(x * 256)
+    assert got == best(v, list(range(1500)), {i: v[i] for i in range(0, 1500, 10)})
+
+
+def test_mtree_repeated_ids_large_and_long(spark):
+    draw = np.random.default_rng(4)
+    big = [[float(a) for a in draw.integers(-(10**6), 10**6, 3)] for _ in range(40)]  # products beyond 2^53
+    rows = [(i, v) for i, v in enumerate(big)] + [(0, big[1]), (0, big[0]), (3, big[3]), (7, [0.5] * 5000), (50, [2.0**40] * 3)]
+    got = lists(mtree.top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    v = [[int(np.floor(a * 256)) for a in x] + [0] * (5000 - len(x)) for _, x in rows]
+    want = best(v, [i for i, _ in rows], {0: min(v[i] for i in (0, 40, 41)), 50: v[-1]})
+    assert got == want
+
+
+def test_mtree_search_visits_few_nodes():
+    draw = np.random.default_rng(5)
+    x = np.floor(np.repeat(draw.normal(size=(20, 3)) * 1000, 100, axis=0) + draw.normal(size=(2000, 3)))
+    most = float((x * x).sum(axis=1).max())
+    tree = mtree.Tree(np.arange(2000), x, most)
+    for i, below in enumerate(tree.children):
+        assert (below is None) != (tree.entries[i] is None)
+        for c in [] if below is None else below:
+            gap = mtree.distances(tree.points[tree.route[c]][None], tree.points[tree.route[i]][None])[0, 0]
+            assert abs(gap - tree.to_parent[c]) < 1e-3
+    seen = []
+    leaf = tree._leaf
+    tree._leaf = lambda j, q, *rest: (seen.append(len(q)), leaf(j, q, *rest))[1]
+    ids, scores = tree.search(x[:50], np.arange(50), np.full(50, np.iinfo(np.int64).min), 5, most)
+    assert sum(seen) < 50 * sum(e is not None for e in tree.entries) / 2
+    assert all(sorted(-scores[i]) == sorted(-np.delete(x @ x[i], i))[:5] for i in range(50))
+
+
 def test_mtree_small_tables(spark):
     make = lambda rows: mtree.top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert make([]) == [] and make([(0, [1.0])]) == [] and make([(0, None)]) == []
@@ -415,6 +471,21 @@ def test_transducer_on_odd_texts():
         assert own.text(s, draw.choice([1, 2, 3, 7, 1000])) == len(library.encode(s)), s
 
 
+def test_state_maps_compose():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.Transducer(token_counts.Vocabulary(path), max_states=500)
+    draw = random.Random(2)
+    atoms = ["a", "tion", "the", token_counts.MARK, token_counts.MARK * 2, "\n", ".", "é", "漢", "😀", "\x00", "ing"]
+    for _ in range(400):
+        a, b, c = (own.chunk_map("".join(draw.choice(atoms) for _ in range(draw.randint(0, 6)))) for _ in range(3))
+        assert own.compose(own.compose(a, b), c) == own.compose(a, own.compose(b, c))
+    for long in ("x" * 300_000, " " * 300_000, "a  " + "b" * 200_000, "word " * 60_000, "  ab" * 50_000):
+        assert own.text(long, 4096) == len(library.encode(long))
+
+
 # pipeline
 
 
