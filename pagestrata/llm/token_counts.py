@@ -7,20 +7,21 @@ therefore finite: the longest suffix that still starts some piece, with the last
 relative count at each of its positions. Transitions carry the change of the count. States and
 transitions are compiled when first met and dropped together at ``max_states``.
 
-Units end before each word mark: no piece has a word mark after another character, so the state
-before a unit never reaches into it. A chunk of text thus maps a state to a state in a way that two
-strings and a number describe (what precedes its first unit, the count of its whole units, what it
-leaves open); those maps compose associatively, and a prefix scan joins the chunks of a long text.
-
-Null and empty texts have no tokens. Runs of two or more word marks share one rank in the
-vocabulary, so units that start with such a run, and characters in no piece, take the merge rule itself.
+Units end before each word mark: no piece has a word mark after another character, so a word mark after
+another character, a line end and a character in no piece send every state to one and the same. A chunk of text is therefore a map
+from states to states and counts in two parts: what it holds up to the first such place, which is still to be run from
+the state that comes in, and from there a fixed count and a fixed state that goes out. The maps compose
+associatively; a scan joins those of a long text pairwise, in as many rounds as their number has bits.
+
+Runs of two or more word marks share one rank in the vocabulary; units that start with such a run take the merge rule itself,
+and their state is the unit so far. Null and empty texts have no tokens.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagestrata.llm.common import documents, pieces
 
 MARK = "▁"
+PART = re.compile(f"{MARK}+|[^{MARK}\n]+")
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 LIMIT = 4096
 
@@ -123,6 +125,20 @@ class Vocabulary:
         return known
 
 
+#: A state by its key (see Transducer), or the unit so far where that begins with a run of word marks.
+State = tuple | str
+START = ("", (("", 0),))
+
+
+class StateMap(NamedTuple):
+    """What a chunk does to the state that comes in: ``head`` is run from it; if ``reset``, ``count`` tokens follow and ``state`` goes out."""
+
+    head: str
+    reset: bool = False
+    count: int = 0
+    state: State = START
+
+
 class Transducer:
     """Deterministic, compiled as it is met: ``step[state][char] -> (state, change of the count)``."""
 
@@ -134,8 +150,9 @@ class Transducer:
     def _reset(self) -> None:
         # A state: the open suffix, and at each of its positions (the oldest first) the last piece and the count against the present one.
         self.step: list[dict[str, tuple[int, int]]] = [{}]
-        self.keys: list[tuple] = [("", (("", 0),))]
+        self.keys: list[tuple] = [START]
         self.known = {self.keys[0]: 0}
+        self.marked = self._compile(0, MARK)[0]
 
     def _compile(self, state: int, char: str) -> tuple[int, int]:
         vocabulary = self.vocabulary
@@ -154,20 +171,21 @@ class Transducer:
         cut = next((k for k in range(len(grown)) if grown[k:] in vocabulary.starts), len(grown))
         # Positions from which no piece can still grow don't tell states apart.
         key = (grown[cut:], tuple(x and vocabulary.alike(x, grown[k:]) for k, x in enumerate(marks[cut:], cut) if k < len(grown)) + (marks[-1],))
+        out = self.step[state][char] = (self._number(key), change)
+        return out
+
+    def _number(self, key: tuple) -> int:
         there = self.known.get(key)
         if there is None:
             there = self.known[key] = len(self.keys)
             self.keys.append(key)
             self.step.append({})
-        out = self.step[state][char] = (there, change)
-        return out
+        return there
 
     def count(self, unit: str) -> int:
         """Tokens of a unit, in one pass over its characters."""
         if unit.startswith(MARK * 2) or not self.vocabulary.chars.issuperset(unit):
             return self.vocabulary.tokens(unit)
-        if len(self.keys) > self.max_states:
-            self._reset()
         step, state, total = self.step, 0, 0
         for char in unit:
             there = step[state].get(char) or self._compile(state, char)
@@ -185,17 +203,44 @@ class Transducer:
                 self.units[unit] = n
         return n
 
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """What a chunk does to any state: (head, count, tail), or (all of it, None, '') if no unit starts in it."""
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        """(state, change of the count) after characters that follow in the state."""
+        tokens, total, i = self.vocabulary.tokens, 0, 0
+        at = state if type(state) is str else self._number(state)
+        while i < len(text):
+            if text[i] == "\n":
+                total, at, i = total + self.of("\n"), 0, i + 1
+                continue
+            j = PART.match(text, i).end()
+            part, i = text[i:j], j
+            if part[0] == MARK:
+                marks = at if type(at) is str and not at.strip(MARK) else MARK if at == self.marked else ""
+                if marks or len(part) > 1:
+                    total += tokens(marks + part) - (tokens(marks) if marks else 0)
+                    at = marks + part
+                else:
+                    at, n = self.step[0].get(MARK) or self._compile(0, MARK)
+                    total += n
+            elif type(at) is str:
+                total += tokens(at + part) - tokens(at)
+                at += part
+            else:
+                for char in part:
+                    if char in self.vocabulary.chars:
+                        at, n = self.step[at].get(char) or self._compile(at, char)
+                    else:
+                        at, n = 0, len(char.encode())
+                    total += n
+        return at if type(at) is str else self.keys[at], total
+
+    def chunk_map(self, chunk: str) -> StateMap:
+        """The chunk's map. Its head is the unit that may go on from the chunk before: up to the first place that resets."""
+        if len(self.keys) > self.max_states:
+            self._reset()
         found = UNIT.findall(chunk)
-        if found and not re.match(f"[{MARK}\n]", chunk):
-            head, found = found[0], found[1:]
-        elif found and chunk[0] == MARK:  # a run of marks may go on from the chunk before
-            head, found = found[0], found[1:]
-        else:
-            head = ""
+        head = "" if not found or found[0] == "\n" else found.pop(0)
         if not found:
-            return head, None, ""
+            return StateMap(head)
         tail = found.pop()
         get = self.units.get
         try:
@@ -205,26 +250,25 @@ class Transducer:
             for u in found:
                 n = get(u)
                 body += self.of(u) if n is None else n
-        return head, body, tail
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of two neighbouring chunks; associative."""
-        if a[1] is None and b[1] is None:
-            return a[0] + b[0], None, ""
-        if a[1] is None:
-            return a[0] + b[0], b[1], b[2]
-        if b[1] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + sum(self.of(u) for u in UNIT.findall(a[2] + b[0])) + b[1], b[2]
+        state, n = self.run(START, tail)
+        return StateMap(head, True, body + n, state)
+
+    def compose(self, a: StateMap, b: StateMap) -> StateMap:
+        """First ``a``, then ``b``; associative."""
+        if not a.reset:
+            return StateMap(a.head + b.head, b.reset, b.count, b.state)
+        state, n = self.run(a.state, b.head)
+        return StateMap(a.head, True, a.count + n + b.count, b.state) if b.reset else StateMap(a.head, True, a.count + n, state)
 
     def text(self, text: str | None, chunk: int = 65_536) -> int:
-        """Tokens of a text: the prefix scan of its chunks' maps, applied to the start."""
+        """Tokens of a text: its chunks' maps, joined pairwise, applied to the start."""
         if not text:
             return 0
         text = MARK + text.replace(" ", MARK)
         maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        *_, (head, body, tail) = accumulate(maps, self.compose)
-        return (body or 0) + sum(self.of(u) for part in (head, tail) for u in UNIT.findall(part))
+        while len(maps) > 1:
+            maps = [self.compose(*pair) if len(pair) == 2 else pair[0] for pair in (maps[i : i + 2] for i in range(0, len(maps), 2))]
+        return self.run(START, maps[0].head)[1] + maps[0].count
 
 
 _COMPILED: dict[str, Transducer] = {}
