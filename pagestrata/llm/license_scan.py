@@ -12,8 +12,10 @@ score is 1 for a base phrase, else the best notice's share of unchanged characte
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,46 +75,69 @@ def _compiled(notices: tuple[tuple[str, str], ...]):
 
 
 def fuzzy_spans(line: str, notices: dict[str, str] = NOTICES) -> list[tuple[int, int, str, int, float]]:
-    """(start, end, label, edits, share unchanged) of the notices in a word line, by start."""
+    """(start, end, label, edits, share unchanged) of the notices in a word line, by start; time grows with the line and the seeds in it."""
     machine, rules = _compiled(tuple(notices.items()))
     near: dict[int, list[list[int]]] = {}
     for end, (size, where) in machine.iter(line):
         for n, offset in where:
             notice, _, edits, _ = rules[n]
-            a = max(0, end + 1 - size - offset - edits - 1)
-            b = min(len(line), end + 1 - size - offset + len(notice) + edits + 1)
+            at = end + 1 - size - offset  # where the notice would start without edits before the seed
             held = near.setdefault(n, [])
-            if held and a <= held[-1][1]:
-                held[-1][1] = max(held[-1][1], b)
+            if held and abs(at - held[-1][0]) <= 2 * edits:
+                held[-1][1] = max(held[-1][1], at)
             else:
-                held.append([a, b])
+                held.append([at, at])
     found = set()
-    for n, windows in near.items():
+    for n, places in near.items():
         notice, label, edits, rule = rules[n]
-        for a, b in windows:
-            for m in rule.finditer(line, a, b):
+        for a, b in places:
+            for m in rule.finditer(line, max(0, a - 3 * edits - 1), min(len(line), b + len(notice) + edits + 1)):
                 made = sum(m.fuzzy_counts)
                 found.add((m.start(), m.end(), label, made, 1 - made / len(notice)))
-    # Of places that overlap, the ones with the fewest edits stay.
-    return sorted(s for s in found if not any(o[3] < s[3] and o[0] < s[1] and s[0] < o[1] for o in found))
+    return _fewest(sorted(found))
+
+
+def _fewest(spans: list) -> list:
+    """Of places that overlap, the ones with the fewest edits: a place goes if one with fewer edits overlaps it."""
+    out = [s for s in spans if s[3] == 0]
+    for edits in range(1, MOST_EDITS + 1):
+        better = sorted((s[0], s[1]) for s in spans if s[3] < edits)
+        starts = [a for a, _ in better]
+        ends = list(accumulate((b for _, b in better), max))  # the furthest end of all that start as early
+        for s in spans:
+            i = bisect_left(starts, s[1])
+            if s[3] == edits and not (i and ends[i - 1] > s[0]):
+                out.append(s)
+    return sorted(out)
+
+
+def word_numbers(line: str, places: list[int]) -> dict[int, int]:
+    """The blanks before each place, in one walk along the line."""
+    out, at, n = {}, 0, 0
+    for place in sorted(set(places)):
+        n += line.count(" ", at, place)
+        out[place], at = n, place
+    return out
 
 
 def scan(text: str | None, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> dict:
     line, n = word_line(text)
-    starts, base = [], set()
+    places, base = [], set()
     for phrase, label in phrases.items():
         at = line.find(padded := f" {phrase} ")
         if at >= 0:
             base.add(label)
         while at >= 0:
-            starts.append(line.count(" ", 0, at))
+            places.append(at)
             at = line.find(padded, at + 1)
     spans = fuzzy_spans(line, notices) if n else []
+    number = word_numbers(line, places + [p for s in spans for p in s[:2]])
+    starts = [number[p] for p in places]
     score = 1.0 if starts else max((s[4] for s in spans), default=0.0)
     return {
         "n_words": n, "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
         "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | {s[2] for s in spans})), "score": score,
-        "spans": [{"label": s[2], "first_word": line.count(" ", 0, s[0]) - 1, "n_words": line.count(" ", s[0], s[1]) + 1, "edits": s[3]} for s in spans],
+        "spans": [{"label": s[2], "first_word": number[s[0]] - 1, "n_words": number[s[1]] - number[s[0]] + 1, "edits": s[3]} for s in spans],
     }
 
 

@@ -46,3 +46,13 @@ def groups(texts, percent=85):
                     r, s = find(y), find(ids[x])
                     parent[max(r, s)] = min(r, s)
     return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def edits(a, b):
+    """Insertions, deletions and substitutions from a to b."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
