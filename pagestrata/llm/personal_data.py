@@ -7,6 +7,9 @@ votes and span features, a table whose size the labelers bound; expectation-maxi
 labeler's reliability by kind, and its posteriors are the soft labels from which a naive Bayes classifier over votes and
 features is trained. Loose candidates that it takes are added; base ones always stay.
 
+Loose patterns are obfuscated mail addresses, IPv6, national phone numbers, runs of 13 to 19 digits that the base's card rule
+drops, and a kind of its own: secrets (keys, tokens and passwords with their values, and strings of the known shapes).
+
 Both passes are scans without a shuffle of texts: places come from the lengths of the pieces between matches and
 of the matches, in code points. Quantifiers are possessive and starts anchored, so no text takes
 quadratic time in a pattern. Null and empty texts hold nothing; repeated rows are separate rows.
@@ -23,6 +26,9 @@ from pyspark.sql import functions as F
 from pagestrata.llm.common import documents
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of spans that the method adds to those of the base.
+MORE_KINDS = ("secret",)
+ALL_KINDS = KINDS + MORE_KINDS
 _MAIL = "A-Za-z0-9._%+-"
 #: The base patterns. (?:\\G|(?<!...)) starts a match at a run's start or where the last one ended, which is where the leftmost lies.
 STRICT = {
@@ -34,6 +40,7 @@ STRICT = {
 LOOSE = {
     "email": rf"(?<![{_MAIL}])[{_MAIL}]++\x20?+[(\[]at[)\]]\x20?+[A-Za-z0-9-]++(?:(?:\.|\x20?+[(\[]dot[)\]]\x20?+)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?i:api[_-]?+key|access[_-]?+key|secret|token|passw(?:or)?+d|pwd)[\x20\"']{0,2}+[=:][\x20\"']{0,2}+[A-Za-z0-9+/_.-]{8,256}+|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36}(?![0-9A-Za-z])|[0-9a-f]{40}(?![0-9A-Za-z])|[0-9a-f]{64}(?![0-9A-Za-z]))",
     "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
 }
 #: What a text must contain for a pattern to be tried.
@@ -43,8 +50,11 @@ CUES = {
     "email": r"(?i)mail|contact|reach|write|@",
     "ip": r"(?i)\bip\b|host|server|addr|login|client|from",
     "card": r"(?i)card|visa|master|amex|credit|debit|pay",
+    "secret": r"(?i)key|secret|token|passw|pwd|auth|cred",
     "phone": r"(?i)phone|tel\b|tel[.:]|call|mobile|cell|fax|contact",
 }
+#: What a text must contain for the pattern of secrets to be tried.
+SECRET = r"(?i:key|secret|token|passw|pwd)|AKIA|gh[pousr]_|[0-9a-f]{40}"
 AGAINST = r"(?i)invoice|order|isbn|version|serial|token|hash|sku|part no"
 LABELERS, BEFORE, ACCEPT = 5, 24, 0.9
 
@@ -108,12 +118,14 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
 def _judged(kind: str, x: Column, base: bool) -> Column:
     """A candidate with its votes and features."""
     m, before, left, right = x["m"], x["b"], F.right(x["b"], F.lit(1)), x["r"]
-    shape = {"email": F.length(m).between(6, 80), "ip": F.lit(True), "card": luhn(digits(m)), "phone": F.length(digits(m)).between(10, 15)}[kind]
-    listed = {"email": F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(*TLDS), "ip": ~m.rlike(r"^0+\."), "card": m.rlike("^[3-6]"), "phone": m.rlike(r"^\+?[\x20(]?[1-9]")}[kind]
-    votes = [F.lit(1 if base else 0), _vote(shape), _vote(listed), _vote(before.rlike(CUES[kind]), before.rlike(AGAINST)), _vote(~left.rlike(r"[\p{L}\p{N}]") & ~right.rlike(r"[\p{L}\p{N}]"))]
+    value = F.regexp_extract(m, r"([A-Za-z0-9+/_.-]+)$", 1)
+    shape = {"email": F.length(m).between(6, 80), "ip": F.lit(True), "card": F.length(digits(m)).between(15, 16), "phone": F.length(digits(m)).between(10, 15), "secret": value.rlike("[0-9]") & value.rlike("[A-Za-z]")}[kind]
+    listed = {"secret": F.length(value).between(16, 128), "email": F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(*TLDS), "ip": ~m.rlike(r"^0+\."), "card": luhn(digits(m)) | m.rlike("^[2-6]"), "phone": m.rlike(r"^\+?[\x20(]?[1-9]")}[kind]
+    # What fails the card list may still be a number of some issuer: no vote.
+    votes = [F.lit(1 if base else 0), _vote(shape), _vote(listed, F.lit(False)) if kind == "card" else _vote(listed), _vote(before.rlike(CUES[kind]), before.rlike(AGAINST)), _vote(~left.rlike(r"[\p{L}\p{N}]") & ~right.rlike(r"[\p{L}\p{N}]"))]
     code = F.concat(*((v + 1).cast("string") for v in votes))
     features = F.concat(F.least(F.lit(9), F.floor(F.length(m) / 4)).cast("string"), F.when(left.rlike(r"^$|\s"), "s").otherwise("p"), F.when(right.rlike(r"^$|\s"), "s").otherwise("p"))
-    return F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"), code.alias("votes"), features.alias("features"))
+    return F.struct(F.lit(ALL_KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"), code.alias("votes"), features.alias("features"))
 
 
 def candidates(docs: DataFrame, text: str) -> DataFrame:
@@ -123,7 +135,7 @@ def candidates(docs: DataFrame, text: str) -> DataFrame:
     for kind in KINDS:
         docs = places(docs, "_t", f"_s{kind}", STRICT[kind], F.col("_t").contains(NEEDS[kind]) if kind in NEEDS else number)
     for kind in LOOSE:
-        docs = places(docs, "_t", f"_l{kind}", LOOSE[kind], F.col("_t").rlike(r"(?:\(at\)|\[at\])") if kind == "email" else number)
+        docs = places(docs, "_t", f"_l{kind}", LOOSE[kind], F.col("_t").rlike(r"(?:\(at\)|\[at\])") if kind == "email" else F.col("_t").rlike(SECRET) if kind == "secret" else number)
     valid = lambda kind: lambda x: _valid(kind, x["m"])
     judged = lambda kind, base: lambda x: _judged(kind, x, base)
     docs = docs.withColumn("_base", F.concat(*(F.transform(F.filter(f"_s{k}", valid(k)), judged(k, True)) for k in KINDS)))
@@ -184,13 +196,13 @@ def _score(model: dict, x: Column) -> Column:
 
 
 def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row."""
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added) for each row: n_added are those that the method adds to the base."""
     met = candidates(docs.select(key, text), text)
     counted = met.select(F.explode(F.concat("_base", "_more")).alias("x")).groupBy("x.k", "x.votes", "x.features").count()
-    model = estimate([tuple(r) for r in counted.collect()])  # at most 4 * 3^5 * 40 rows
+    model = estimate([tuple(r) for r in counted.collect()])  # at most 5 * 3^5 * 40 rows
     taken = F.filter("_more", lambda x: _score(model, x) >= math.log(accept / (1 - accept))) if model else F.col("_more")
     met = met.withColumn("_added", F.when(F.size("_more") > 0, taken).otherwise(F.col("_more")))
-    name = F.array(*map(F.lit, KINDS))
+    name = F.array(*map(F.lit, ALL_KINDS))
 
     def joined(spans: Column) -> Column:
         ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))))
@@ -198,7 +210,7 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", acce
 
     of = lambda i: lambda x: x["k"] == i
     n = [F.size(F.filter("_base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return met.select(key, *n, F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.concat("_base", "_added")).alias("spans"))
+    return met.select(key, *n, F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.concat("_base", "_added")).alias("spans"), F.size(F.concat("_base", "_added")).cast("long").alias("n_spans"), F.size("_added").cast("long").alias("n_added"))
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
