@@ -7,10 +7,11 @@ penalty for each switch labels spans, so a quotation in another language is one
 word is none. The prediction is the language with the most bytes; its score is those bytes' share
 of the text's, weighted by the words' posteriors.
 
-Learned: texts with a language whose crc32(id) mod 3 is not 1, at most about ``per_language`` of
-each language by hash order and ``train_chars`` characters of each: a bounded sample, the same at every
-size. Predictions read whole texts and nothing else. Null texts and texts without a letter are
-``und`` with score 0, and so is everything if there is nothing to learn from.
+Learned: whole texts with a language whose crc32(id) mod 3 is not 1, drawn by a hash of the id: of each language about
+``per_language`` texts, or as many as have about ``train_chars`` characters together (of all languages ``all_chars``): a bounded sample,
+the same at every size. Predictions read whole texts and nothing else. Words of no known script range are scored by their n-grams alone.
+Null texts and texts without a letter are ``und`` with score 0, and so is everything if there is nothing to learn from. Rows
+without id are predicted and never learned from; repeated rows are rows of their own; other columns take no part.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.llm.common import documents, pieces
 
-PER_LANGUAGE, TRAIN_CHARS = 800, 8_000
+PER_LANGUAGE, TRAIN_CHARS, ALL_CHARS = 800, 4_000_000, 128_000_000
 #: Nats that a switch of language costs; share of a language's words from which a script is one of its own.
 SWITCH, SCRIPT_SHARE = 12.0, 0.01
 BITS = 16
@@ -32,8 +33,8 @@ ORDERS = (2, 3, 4)
 #: Bytes of text whose positions are scored at once.
 PART = 1 << 19
 
-#: First bytes of UTF-8 sequences by script range, as bits.
-_RANGES = {0x01: range(0xC2, 0xCC), 0x02: range(0xCE, 0xD0), 0x04: range(0xD0, 0xD5), 0x08: range(0xD6, 0xD8), 0x10: range(0xD8, 0xE0), 0x20: range(0xE0, 0xE1), 0x40: range(0xE1, 0xE2), 0x80: range(0xE3, 0xEE)}
+#: First bytes of UTF-8 sequences by script range, as bits. Bytes that symbols share with scripts (E2, EE and beyond) tell none.
+_RANGES = {0x01: range(0xC2, 0xCC), 0x02: range(0xCE, 0xD0), 0x04: range(0xD0, 0xD5), 0x08: range(0xD5, 0xD8), 0x10: range(0xD8, 0xE0), 0x20: range(0xE0, 0xE1), 0x40: range(0xE1, 0xE2), 0x80: range(0xE3, 0xEE)}
 _SCRIPT = np.zeros(256, np.uint8)
 _SCRIPT[65:91] = _SCRIPT[97:123] = 1
 for _bit, _bytes in _RANGES.items():
@@ -112,7 +113,6 @@ class Model:
             scores += table[slots]
         scores = np.add.reduceat(scores, first, axis=0)
         allowed = self.allowed[kinds]
-        scores[~allowed.any(axis=1)] = 0
         scores[~allowed & allowed.any(axis=1, keepdims=True)] -= 30
         return scores, size, at
 
@@ -173,17 +173,18 @@ def fold_of(key) -> F.Column:
     return F.crc32(key.cast("string").cast("binary")) % 3
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, train_chars: int = TRAIN_CHARS) -> Model:
-    """Fits the model on a bounded sample: of each language the rows that a hash takes at the rate which gives about ``per_language``."""
-    rows = docs.where((fold_of(F.col(key)) != 1) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, train_chars: int = TRAIN_CHARS, all_chars: int = ALL_CHARS) -> Model:
+    """Fits the model on a bounded sample: of each language the rows that a hash takes at the rate which keeps to the bounds."""
+    rows = docs.where((fold_of(F.col(key)) != 1) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    counts = {r[0]: (r[1], max(1, r[2])) for r in rows.groupBy("l").agg(F.count("*"), F.sum(F.length("t"))).collect()}
     if not counts:
         return Model([], np.zeros((len(ORDERS), 1 << BITS, 0), np.float32), np.zeros((256, 0), bool))
-    draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000))
-    takes = F.lit(False)
-    for language, n in sorted(counts.items()):
-        takes |= (F.col(lang) == language) & (draw < int(1e6 * min(1, per_language / n)))
-    sample = rows.where(takes).select(F.substring(text, 1, train_chars).alias("t"), F.col(lang).alias("l")).toArrow()
+    draw = F.pmod(F.xxhash64("k"), F.lit(1_000_000))
+    most = min(train_chars, all_chars / len(counts))
+    rates = F.create_map(*(F.lit(x) for language, (n, chars) in sorted(counts.items()) for x in (language, int(1e6 * min(1, per_language / n, most / chars)))))
+    sample = rows.where(draw < rates[F.col("l")]).select("t", "l").toArrow()
+    if not sample.num_rows:  # the rates are for many rows
+        sample = rows.orderBy(draw, "k").limit(len(counts)).select("t", "l").toArrow()
     return Model.fit(sample["t"].to_pylist(), sample["l"].to_pylist())
 
 
