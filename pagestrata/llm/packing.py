@@ -9,7 +9,7 @@ stays bounded; a lost task is simply run again.
 A row holds ``input_ids`` (little-endian, 2 bytes an id if the vocabulary allows, else 4; padded with the
 end id), ``cu_seqlens`` (cumulative lengths of its segments), ``position_ids`` (4 bytes each, from
 0 again at each segment), and where each segment comes from (doc_ids, offsets). Null and empty texts
-have no tokens and no segment; repeated rows are packed each time.
+have no tokens and no segment; repeated rows are packed each time; rows without id too. The key is a whole number; other columns take no part.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagestrata.llm.common import documents, pieces
 
-LENGTH, WINDOW = 2_048, 4_000_000
+LENGTH, WINDOW = 2_048, 1_000_000
 
 
 class Capacities:
