@@ -34,7 +34,8 @@ from pagestrata.llm.shingles import distinct, mix, shingle_hashes
 BANDS, ROWS, PERCENT = 26, 6, 85
 #: The pipeline's stage links at 80; 31 bands of 5 miss a pair at 0.80 with the chance that 26 of 6 have at 0.85.
 STAGE_BANDS, STAGE_ROWS, STAGE_PERCENT = 31, 5, 80
-CHUNK = 2 << 20
+#: Bytes of text whose shingles are hashed at once; some ten arrays of 8 bytes for each.
+CHUNK = 1 << 20
 
 
 def superminhash(hashes: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndarray:
