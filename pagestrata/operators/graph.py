@@ -1,7 +1,8 @@
 """Connected components of an edge table, without collecting it.
 
-Each task first contracts its own edges by union-find, a bounded number of nodes at a time; large-star and
-small-star rounds join the forests. Rounds aggregate with map-side minima and join back, so a hub of any
+Each task first contracts its own edges by union-find, a bounded number of nodes at a time; what the forests leave is
+dealt to tasks of up to ``PER_TASK`` edges and contracted once more; large-star and small-star rounds go on until all components are
+stars, which one aggregation tells. Rounds aggregate with map-side minima and join back, so a hub of any
 degree neither gathers in one task nor widens a row. The plan is the same at every size.
 """
 
@@ -18,6 +19,7 @@ from pagestrata.session import checkpointed
 
 #: Nodes that a task's forest holds before it is passed on: some 40 MB.
 MOST = 250_000
+PER_TASK = 100_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator[pa.RecordBatch]:
@@ -50,10 +52,12 @@ def _contract(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator[p
     yield out()
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     """(node, component) for every node of the edges (u, v); a component is named by its smallest node."""
-    forests = edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, "u long, v long")
-    edges = checkpointed(spark, forests.distinct())
+    schema = "u long, v long"
+    forests = checkpointed(spark, edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, schema))
+    tasks = max(1, -(-forests.count() // per_task))
+    edges = checkpointed(spark, forests.coalesce(tasks).mapInArrow(_contract, schema).distinct())
     while not _stars(edges):
         edges = _round(spark, edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -153,8 +153,8 @@ def test_kmeans(spark):
     assert len({(i // 20, got[i]) for i in range(60)}) == 3
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_components(spark, parts):
+@pytest.mark.parametrize(("parts", "per_task"), [(1, 100_000), (7, 100_000), (7, 40)])
+def test_components(spark, parts, per_task):
     draw = random.Random(1)
     edges = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
     parent = {}
@@ -167,7 +167,7 @@ def test_components(spark, parts):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components(spark, spark.createDataFrame(edges, "u long, v long").repartition(parts)).collect()}
+    got = {r.node: r.component for r in components(spark, spark.createDataFrame(edges, "u long, v long").repartition(parts), per_task).collect()}
     assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
 
 
