@@ -69,7 +69,7 @@ def terms(text: Column) -> Column:
     """Label terms: words of two characters and a letter at least; of unspaced scripts, short runs whole and longer ones as pairs."""
     runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(fixed.TERM_RUN), F.lit(0))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    one = lambda r: F.when(~r.rlike(fixed.UNSPACED), F.when((utf16_length(r) >= 2) & r.rlike(r"\p{L}"), F.array(r)).otherwise(F.array().cast("array<string>"))).when(F.length(r) <= 3, F.array(r)).otherwise(pairs(r))
+    one = lambda r: F.when(~r.rlike(fixed.UNSPACED), F.when(((F.length(r) >= 2) | (utf16_length(r) >= 2)) & r.rlike(r"\p{L}"), F.array(r)).otherwise(F.array().cast("array<string>"))).when(F.length(r) <= 3, F.array(r)).otherwise(pairs(r))
     return F.flatten(F.transform(runs, one))
 
 
@@ -88,27 +88,47 @@ def _slicer(words: Column, n: int):
     return lambda i: F.slice(words, i, F.lit(n))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def quality(text: Column, page_length: Column) -> Column:
     """How much an extracted text looks like prose: a struct with its counts, ratios, score and verdict."""
+
+    def counted(t: Column) -> Column:
+        sample = F.substring(t, 1, 2000)
+        latin = (F.length(sample) > 0) & (F.regexp_count(sample, F.lit("[A-Za-z]")) / F.length(sample) > 0.3)
+        return F.struct(
+            utf16_length(t).cast("long").alias("chars"), F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}']+"), F.lit(0)).alias("words"), F.regexp_count(t, F.lit(fixed.TERMINATOR)).alias("ends"),
+            F.regexp_count(t, F.lit(fixed.IDEOGRAPHIC)).alias("signs"), latin.alias("latin"), (~t.rlike(fixed.NO_TERMINATORS)).alias("uses_ends"))
+
+    def measured(c: Column) -> Column:
+        words = c["words"]
+        stop = F.array(*map(F.lit, fixed.PROSE_STOPWORDS.split()))
+        # Without such signs in the text no word has one.
+        plain = F.when(c["signs"] == 0, F.size(words)).otherwise(F.size(F.filter(words, lambda w: ~w.rlike(fixed.IDEOGRAPHIC))))
+        sets = let(F.array_distinct(words), lambda u: F.struct(F.size(u).alias("unique"), F.size(F.array_intersect(u, stop)).alias("stops")))
+        return F.struct(*(c[k].alias(k) for k in ("chars", "ends", "latin", "uses_ends")), F.size(words).alias("words"), (c["signs"] + plain).alias("units"), sets.alias("sets"))
+
+    def rated(m: Column) -> Column:
+        unique, stops = m["sets"]["unique"], m["sets"]["stops"]
+        ratio = F.when(m["latin"], F.when(unique > 0, stops / unique).otherwise(0.0))
+        per_100 = F.when(m["units"] > 0, m["ends"] / m["units"] * 100).otherwise(0.0)
+        parts = [(F.lit(0.35), F.least(F.lit(1.0), m["units"] / 250)), (F.when(ratio.isNotNull(), 0.4).otherwise(0.0), F.coalesce(F.least(F.lit(1.0), ratio / 0.3), F.lit(0.0))), (F.when(m["uses_ends"], 0.25).otherwise(0.0), F.least(F.lit(1.0), per_100 / 4))]
+        score = F.round(sum((w * v for w, v in parts), F.lit(0.0)) / sum((w for w, _ in parts), F.lit(0.0)), 3)
+        return F.struct(m.alias("m"), ratio.alias("ratio"), per_100.alias("per_100"), score.alias("score"), F.when(m["words"] > 0, unique / m["words"]).otherwise(0.0).alias("types"))
+
+    def judged(r: Column) -> Column:
+        m, score = r["m"], r["score"]
+        poor = ((m["units"] >= 115) & (m["ends"] == 0) & m["uses_ends"]) | (m["units"] < 65) | (score < 0.35)
+        return F.struct(
+            m["chars"].alias("chars"), F.round(F.when(page_length > 0, F.least(F.lit(1.0), m["chars"] / page_length)).otherwise(0.0), 3).alias("coverage"), F.round(r["ratio"], 3).alias("stopword_ratio"),
+            F.round(r["per_100"], 1).alias("terminators_per_100"), F.round(r["types"], 3).alias("type_token_ratio"),
+            m["units"].cast("long").alias("units"), score.alias("score"), F.when(poor, "poor").when(score < 0.6, "weak").otherwise("good").alias("verdict"))
+
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\x0b\x0c "))
-    words = F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
-    unique = F.array_distinct(words)
-    stop = F.array(*map(F.lit, fixed.PROSE_STOPWORDS.split()))
-    chars = utf16_length(t).cast("long")
-    ends = F.regexp_count(t, F.lit(fixed.TERMINATOR))
-    units = F.regexp_count(t, F.lit(fixed.IDEOGRAPHIC)) + F.size(F.filter(words, lambda w: ~w.rlike(fixed.IDEOGRAPHIC)))
-    sample = F.substring(t, 1, 2000)
-    latin = (F.length(sample) > 0) & (F.regexp_count(sample, F.lit("[A-Za-z]")) / F.length(sample) > 0.3)
-    ratio = F.when(latin, F.when(F.size(unique) > 0, F.size(F.array_intersect(unique, stop)) / F.size(unique)).otherwise(0.0))
-    per_100 = F.when(units > 0, ends / units * 100).otherwise(0.0)
-    uses_ends = ~t.rlike(fixed.NO_TERMINATORS)
-    parts = [(F.lit(0.35), F.least(F.lit(1.0), units / 250)), (F.when(ratio.isNotNull(), 0.4).otherwise(0.0), F.coalesce(F.least(F.lit(1.0), ratio / 0.3), F.lit(0.0))), (F.when(uses_ends, 0.25).otherwise(0.0), F.least(F.lit(1.0), per_100 / 4))]
-    score = F.round(sum((w * v for w, v in parts), F.lit(0.0)) / sum((w for w, _ in parts), F.lit(0.0)), 3)
-    poor = ((units >= 115) & (ends == 0) & uses_ends) | (units < 65) | (score < 0.35)
-    return F.struct(
-        chars.alias("chars"), F.round(F.when(page_length > 0, F.least(F.lit(1.0), chars / page_length)).otherwise(0.0), 3).alias("coverage"), F.round(ratio, 3).alias("stopword_ratio"),
-        F.round(per_100, 1).alias("terminators_per_100"), F.round(F.when(F.size(words) > 0, F.size(unique) / F.size(words)).otherwise(0.0), 3).alias("type_token_ratio"),
-        units.cast("long").alias("units"), score.alias("score"), F.when(poor, "poor").when(score < 0.6, "weak").otherwise("good").alias("verdict"))
+    return let(t, lambda t: let(counted(t), lambda c: let(measured(c), lambda m: let(rated(m), judged))))
 
 
 def ladder(candidates: list[tuple[int, Column]], page_length: Column) -> Column:

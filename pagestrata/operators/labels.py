@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagestrata.functions import text
+from pagestrata.session import checkpointed
 
 
 def term_scores(titles: DataFrame, longest: int = 4, least: int = 2) -> DataFrame:
     """(class, term, score): of (class, title_id, title). Hot classes are pre-aggregated by term before any shuffle."""
     rows = titles.withColumn("terms", text.terms(F.col("title")))
     terms = rows.select("class", "title_id", F.explode(text.phrases(F.col("terms"), longest)).alias("term"))
-    counts = terms.groupBy("class", "term", "title_id").agg(F.count("*").alias("n")).groupBy("class", "term").agg(F.sum("n").alias("n"), F.count("*").alias("titles"))
+    # Written once: totals, document frequencies and scores all read it.
+    counts = checkpointed(titles.sparkSession, terms.groupBy("class", "term", "title_id").agg(F.count("*").alias("n")).groupBy("class", "term").agg(F.sum("n").alias("n"), F.count("*").alias("titles")))
     total = counts.groupBy("class").agg(F.sum("n").alias("total"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     sizes = titles.groupBy("class").agg(F.count("*").alias("size"))
@@ -43,5 +45,5 @@ def choose(scores: DataFrame, most: int = 2) -> DataFrame:
 
 def label(titles: DataFrame, most: int = 2, longest: int = 4, least: int = 2) -> DataFrame:
     """A row for each class; classes without terms have a null label."""
-    named = choose(term_scores(titles, longest, least), most)
+    named = choose(checkpointed(titles.sparkSession, term_scores(titles, longest, least)), most)
     return titles.select("class").distinct().join(named, "class", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagestrata.functions import text, vectors
+from pagestrata.session import checkpointed
 
 POOL, DOMAIN_CAP, QUERY_CHARS = 6, 3, 512
 
@@ -24,7 +26,13 @@ class Filters:
     @classmethod
     def parse(cls, start: str = "", end: str = "", format: str = "", topic: str = "", domain: str = "") -> Filters:
         """From form fields; blank or unreadable means unset."""
-        number = lambda s: int(float(s)) if s.strip().replace(".", "", 1).lstrip("-").isdigit() else None
+
+        def number(s: str) -> int | None:
+            try:
+                return int(float(s)) if s.strip() else None
+            except (ValueError, OverflowError):
+                return None
+
         word = lambda s: s.strip() or None
         return cls(number(start), number(end), word(format), word(topic), word(domain))
 
@@ -83,16 +91,25 @@ def more_like(index: DataFrame, page_id: int, limit: int = 20) -> DataFrame:
 
 
 def bm25(docs: DataFrame, query: str | list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(id, bm25): of (id, title), for documents that hold a query term; repeated query terms count each time."""
-    rows = docs.withColumn("terms", text.terms(F.col("title")))
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
-    words = docs.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(text.terms(F.col("q"))).alias("term")) if isinstance(query, str) else docs.sparkSession.createDataFrame([(w,) for w in query], "term string")
-    words = words.groupBy("term").agg(F.count("*").alias("times"))
-    tf = rows.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(F.broadcast(words), "term").groupBy("id", "len", "term", "times").agg(F.count("*").alias("f"))
+    """(id, bm25): of (id, title), for documents that hold a query term; repeated query terms count each time.
+
+    One pass over the texts keeps of each its number of terms and those of the query; all else reads that small table.
+    """
+    spark = docs.sparkSession
+    asked = spark.createDataFrame([(query,)], "q string").select(F.explode(text.terms(F.col("q")))).collect() if isinstance(query, str) else [(w,) for w in query]
+    times = Counter(w for (w,) in asked)
+    if not times:
+        return docs.select("id", F.lit(0.0).alias("bm25")).where("false")
+    wanted = F.array(*map(F.lit, sorted(times)))
+    rows = docs.select("id", text.let(text.terms(F.col("title")), lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda w: F.array_contains(wanted, w)).alias("held"))).alias("t"))
+    rows = checkpointed(spark, rows.select("id", "t.*"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    tf = rows.select("id", "len", F.explode("held").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("f"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     met = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))  # the query's terms, and one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    score = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("mean"))) * F.col("times")
+    often = F.create_map(*(F.lit(x) for pair in sorted(times.items()) for x in pair))[F.col("term")]
+    score = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("mean"))) * often
     return met.groupBy("id").agg(F.sum(score).alias("bm25"))
 
 
