@@ -81,3 +81,18 @@ def opacity(score: Column, low: float = 0.30, high: float = 0.95, floor: float =
 def timeline_x(ms: Column, day: Column) -> Column:
     """A time's place on its day's line, in percent."""
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), (ms - day) / (24 * 3600 * 1000) * 100))
+
+
+def calendar_day_start(ms: Column) -> Column:
+    """Midnight at or before a time."""
+    return millis(F.date_trunc("DAY", stamp(ms)))
+
+
+def to_input(ms: Column) -> Column:
+    """A time as a date-and-time field shows it: local, to the minute."""
+    return F.date_format(stamp(ms), "yyyy-MM-dd'T'HH:mm")
+
+
+def from_input(value: Column) -> Column:
+    """The time of a date-and-time field; null if it is empty or unreadable."""
+    return millis(F.coalesce(F.try_to_timestamp(value, F.lit("yyyy-MM-dd'T'HH:mm")), F.try_to_timestamp(value, F.lit("yyyy-MM-dd'T'HH:mm:ss"))))

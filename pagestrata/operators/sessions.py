@@ -52,16 +52,16 @@ def passive(rows: DataFrame, keys: list[str]) -> DataFrame:
         *keys, F.when(F.col("captured") == 0, None).when(F.col("pages") < PASSIVE_RUN, False).otherwise((F.col("longest") >= PASSIVE_RUN) & (F.col("longest") * 2 >= F.col("pages"))).alias("passive"))
 
 
-def build(pages: DataFrame, now: int, by: list[str] | None = None, gap: int = GAP_MS) -> DataFrame:
-    """Sessions of (id, title, domain, first_visit, last_visit, active_seconds, captured), with page ids in time order."""
+def build(pages: DataFrame, now: int, by: list[str] | None = None, gap: int = GAP_MS, with_pages: bool = True) -> DataFrame:
+    """Sessions of (id, title, domain, first_visit, last_visit, active_seconds, captured), with page ids in time order; without ``with_pages`` no session gathers its pages, and number_runs tells each page's."""
     by = by or []
     rows = number_runs(pages, by, gap=gap)
     keys = [*by, "run"]
     made = rows.groupBy(*keys).agg(
         F.min("first_visit").alias("start"), F.max("last_visit").alias("end"), F.count("*").alias("page_count"), F.sum("active_seconds").alias("active_seconds"), F.count_if("captured").alias("n_captured"),
-        F.transform(F.array_sort(F.collect_list(F.struct("last_visit", "id"))), lambda x: x["id"]).alias("page_ids"))
+        F.min_by("id", F.struct("last_visit", "id")).alias("first_page"), *([F.transform(F.array_sort(F.collect_list(F.struct("last_visit", "id"))), lambda x: x["id"]).alias("page_ids")] if with_pages else []))
     made = made.join(passive(rows, keys), keys)
     provenance = F.when(F.col("n_captured") == F.col("page_count"), "exact").when(F.col("n_captured") == 0, "approximate").otherwise("mixed")
     # The first page's id keeps sessions of one start and size apart.
-    name = F.concat(F.lit("s"), F.col("start").cast("string"), F.lit("-"), F.col("page_count").cast("string"), F.lit("-"), F.element_at("page_ids", 1).cast("string"))
-    return made.withColumn("provenance", provenance).withColumn("provisional", F.lit(now) - F.col("end") < gap).withColumn("day", times.day_start(F.col("start"))).withColumn("session_id", name).drop("run", "n_captured")
+    name = F.concat(F.lit("s"), F.col("start").cast("string"), F.lit("-"), F.col("page_count").cast("string"), F.lit("-"), F.col("first_page").cast("string"))
+    return made.withColumn("provenance", provenance).withColumn("provisional", F.lit(now) - F.col("end") < gap).withColumn("day", times.day_start(F.col("start"))).withColumn("session_id", name).drop("run", "n_captured", "first_page")

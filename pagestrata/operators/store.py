@@ -68,7 +68,7 @@ def migrate(pages: DataFrame) -> DataFrame:
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The complete versions of a stored table, in order."""
     try:
-        return sorted(int(r.value) for r in spark.read.text(f"{path}/versions").collect())
+        return sorted(int(r.value.split(" ", 1)[0]) for r in spark.read.text(f"{path}/versions").collect())
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -81,14 +81,21 @@ def load(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
 
 
-def save(spark: SparkSession, frame: DataFrame, path: str, version: int | None = None) -> None:
-    """Writes a whole new version and then lists it; a version that is listed already stays as it is."""
+def written(spark: SparkSession, path: str, token: str) -> bool:
+    """Whether a version with this token is listed."""
+    return bool(versions(spark, path)) and not spark.read.text(f"{path}/versions").where(F.col("value").endswith(f" {token}")).isEmpty()
+
+
+def save(spark: SparkSession, frame: DataFrame, path: str, token: str | None = None, keep: int = 3) -> int:
+    """Writes a whole new version, lists it, and removes all but the last ``keep``. ``token`` marks what made it, so that a replay can tell (see written)."""
     found = versions(spark, path)
-    version = (found[-1] + 1 if found else 0) if version is None else version
-    if version in found:
-        return
+    version = found[-1] + 1 if found else 0
     frame.write.mode("overwrite").parquet(f"{path}/v{version}")
-    spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{path}/versions")
+    spark.createDataFrame([(f"{version} {token}" if token else str(version),)], "value string").coalesce(1).write.mode("append").text(f"{path}/versions")
+    for old in found[: max(0, len(found) + 1 - keep)]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return version
 
 
 def export_rows(pages: DataFrame) -> DataFrame:

@@ -55,8 +55,51 @@ def top_per(pages: DataFrame, by: str, value: str, most: int) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def tiers(pages: DataFrame) -> DataFrame:
+    """(extraction_tier, n): captured pages by tier."""
+    return pages.where(F.length(F.coalesce("text", F.lit(""))) > 0).groupBy("extraction_tier").agg(F.count("*").alias("n"))
+
+
+def vector_mix(pages: DataFrame) -> DataFrame:
+    """One row: how many vectors come from titles and how many from texts."""
+    return pages.agg(F.count_if(F.col("vector_source") == "title").alias("title"), F.count_if(F.col("vector_source") == "text").alias("text"))
+
+
+def newest(pages: DataFrame, most: int = 100) -> DataFrame:
+    """The pages visited last: a top-k report."""
+    return pages.orderBy(F.desc("last_visit"), "id").limit(most)
+
+
+def captured_newest(pages: DataFrame, most: int = 25, preview: int = 320) -> DataFrame:
+    """The captured pages visited last, with the beginning of their texts."""
+    return newest(pages.where(F.length(F.coalesce("text", F.lit(""))) > 0), most).withColumn("preview", F.substring("text", 1, preview))
+
+
+def best_resources(pages: DataFrame, most: int = 10) -> DataFrame:
+    """Pages visited more than once, the most visited first: a top-k report."""
+    return pages.where("visit_count > 1").orderBy(F.desc("visit_count"), "id").limit(most)
+
+
+def days(sessions: DataFrame) -> DataFrame:
+    """(day, earlier, later): the days that have sessions, newest first, each with its neighbours; a row a day."""
+    order = Window.orderBy("day")
+    return sessions.select("day").distinct().select("day", F.lag("day").over(order).alias("earlier"), F.lead("day").over(order).alias("later")).orderBy(F.desc("day"))
+
+
+def visit_window(pages: DataFrame) -> DataFrame:
+    """One row: the first and the last day of visits."""
+    date = lambda c: F.date_format(times.stamp(c), "yyyy-MM-dd")
+    return pages.agg(date(F.min("last_visit")).alias("oldest"), date(F.max("last_visit")).alias("newest"))
+
+
+def largest_groups(groups: DataFrame, pages: DataFrame, most: int = 5) -> DataFrame:
+    """(group, n, title): the largest near-duplicate groups of two pages or more, with the representative's title."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("n"), F.min_by("id", "pos").alias("id")).where("n > 1").orderBy(F.desc("n"), "group").limit(most)
+    return sizes.join(pages.select("id", "title"), "id", "left").select("group", "n", "title")
+
+
 def summary(pages: DataFrame) -> DataFrame:
-    """One row of counts: pages, captured, clustered, unclustered, by vector source, distinct days."""
+    """One row of counts: pages, captured, clustered, unclustered, distinct days, and the oldest visit."""
     return pages.agg(
         F.count("*").alias("pages"), F.count_if(F.length(F.coalesce("text", F.lit(""))) > 0).alias("captured"), F.count_if(F.col("cluster_id").isNotNull()).alias("clustered"),
         F.count_if(F.col("cluster_id").isNull()).alias("unclustered"), F.countDistinct(times.day_start(F.col("last_visit"))).alias("days"), F.min(F.when(F.col("last_visit") > 0, F.col("last_visit"))).alias("oldest"))
@@ -75,9 +118,20 @@ def stage_segments(transitions: DataFrame) -> DataFrame:
 def attribute_stalls(stalls: DataFrame, transitions: DataFrame) -> DataFrame:
     """Each stall (run, stall_id, from, to) with the stage that it overlaps most, the earliest on a tie, and its offset there.
 
-    A range join within a run; a run has a handful of stages.
+    Time is cut into buckets of the stalls' own scale: a stall meets only the segments in force in its buckets, so a run with many stages
+    and many stalls isn't a product of them.
     """
-    met = stalls.join(stage_segments(transitions), "run")
+    size = stalls.agg(F.coalesce(F.max(F.col("to") - F.col("from")), F.lit(1.0))).first()[0] or 1.0
+    at = lambda c: F.floor(c / size)
+    ends = stalls.groupBy("run").agg(F.min(at(F.col("from"))).alias("lo"), F.max(at(F.col("to"))).alias("hi"))
+    segments = stage_segments(transitions).join(ends, "run")
+    # The first segment reaches back to the first stall, so that a stall before all stages meets it; the last one has no end.
+    head = F.row_number().over(Window.partitionBy("run").orderBy("at")) == 1
+    segments = segments.withColumn("head", head)
+    first, last = F.when(F.col("head"), F.col("lo")).otherwise(F.greatest("lo", F.least("hi", at(F.col("at"))))), F.greatest("lo", F.least("hi", F.coalesce(at(F.col("until")), F.col("hi"))))
+    segments = segments.withColumn("b", F.explode(F.sequence(first, last))).drop("lo", "hi", "head")
+    spread = stalls.withColumn("b", F.explode(F.sequence(at(F.col("from")), at(F.col("to")))))
+    met = spread.join(segments, ["run", "b"])
     overlap = F.least(F.col("to"), F.coalesce("until", F.lit(float("inf")))) - F.greatest("from", "at")
     best = met.withColumn("overlap", overlap).groupBy("run", "stall_id", "from", "to").agg(F.max(F.struct("overlap", (-F.col("at")).alias("minus"), "stage")).alias("b"))
     return best.select("run", "stall_id", "from", "to", F.col("b.stage").alias("stage"), F.greatest(F.lit(0.0), F.col("from") + F.col("b.minus")).alias("offset"))
@@ -89,6 +143,12 @@ def stall_summary(stalls: DataFrame) -> DataFrame:
     return stalls.groupBy("stage").agg(F.count("*").alias("count"), F.sum(ms).alias("total_ms"), F.max(ms).alias("longest_ms"))
 
 
+def worst_stall(stalls: DataFrame) -> DataFrame:
+    """One row: the longest stall with its stage and its offset there; the first of equals."""
+    ms = F.col("to") - F.col("from")
+    return stalls.withColumn("ms", ms).orderBy(F.desc("ms"), "from", "run", "stall_id").limit(1).select("run", "stall_id", "stage", "ms", "offset")
+
+
 def expected_stages(timings: DataFrame, stages: list[str]) -> DataFrame:
     """Every expected stage with its time; stages without one did not run."""
     want = timings.sparkSession.createDataFrame(list(enumerate(stages)), "pos int, stage string")

@@ -25,7 +25,7 @@ def sessions_by_user(spark, d):
 
 
 def sessions_all(spark, d):
-    return sessions.build(_visits(spark, d), NOW, gap=60_000).select("session_id", "start", "end", "page_count", "passive")
+    return sessions.build(_visits(spark, d), NOW, gap=60_000, with_pages=False).select("session_id", "start", "end", "page_count", "passive")
 
 
 def day_summary(spark, d):
@@ -73,7 +73,7 @@ def _stages(spark, d):
 
 def _stalls(spark, d):
     at = times.millis(F.col("ts")).cast("double")
-    return table(spark, d, "events").where("event_id % 10 = 3").select(F.col("user_id").alias("run"), F.col("event_id").alias("stall_id"), (at - 3_600_000).alias("from"), (at + 1_800_000).alias("to"))
+    return table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("stall_id"), (at - 3_600_000).alias("from"), (at + 1_800_000).alias("to"))
 
 
 def stall_stages(spark, d):
@@ -84,6 +84,39 @@ def stall_summary(spark, d):
     return views.stall_summary(views.attribute_stalls(_stalls(spark, d), _stages(spark, d)))
 
 
+def worst_stall(spark, d):
+    stalls = _stalls(spark, d).withColumn("to", F.col("to") + F.col("stall_id") % 97)
+    return views.worst_stall(views.attribute_stalls(stalls, _stages(spark, d)))
+
+
+def day_navigation(spark, d):
+    return views.days(sessions.build(_visits(spark, d), NOW, ["user_id"], with_pages=False))
+
+
+def visit_window(spark, d):
+    return views.visit_window(_pages(spark, d))
+
+
+def newest_pages(spark, d):
+    return views.newest(_pages(spark, d)).select("id", "last_visit")
+
+
+def newest_captures(spark, d):
+    return views.captured_newest(_pages(spark, d)).select("id", "preview")
+
+
+def best_resources(spark, d):
+    return views.best_resources(_pages(spark, d).withColumn("visit_count", F.col("id") % 17)).select("id", "visit_count")
+
+
+def tier_histogram(spark, d):
+    return views.tiers(_pages(spark, d).withColumn("extraction_tier", F.col("id") % 5))
+
+
+def vector_mix(spark, d):
+    return views.vector_mix(_pages(spark, d).withColumn("vector_source", F.when(F.col("text").isNull(), "title").otherwise("text")))
+
+
 def stage_report(spark, d):
     ran = table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("ms"))
     return views.expected_stages(ran, ["click", "view", "embed", "cluster"])
@@ -129,7 +162,7 @@ def range_scan(spark, d):
     return store.in_range(_pages(spark, d), 1_705_000_000_000, 1_705_500_000_000)
 
 
-QUERIES = {f.__name__: f for f in (sessions_by_user, sessions_all, day_summary, session_names, weekly_topics, weekly_excluded, topic_cards, domain_facet, top_domains, page_summary, stall_stages, stall_summary, stage_report, group_stats, dwell_clock, history_windows, history_join, time_days, time_texts, queue_latest, range_scan)}
+QUERIES = {f.__name__: f for f in (sessions_by_user, sessions_all, day_summary, session_names, weekly_topics, weekly_excluded, topic_cards, domain_facet, top_domains, page_summary, stall_stages, stall_summary, worst_stall, day_navigation, visit_window, newest_pages, newest_captures, best_resources, tier_histogram, vector_mix, stage_report, group_stats, dwell_clock, history_windows, history_join, time_days, time_texts, queue_latest, range_scan)}
 
 _V = "SELECT event_id AS id, user_id, event_type AS title, event_type AS domain, (epoch_us(ts) // 1000) - 1000 AS first_visit, (epoch_us(ts) // 1000) AS last_visit, event_id % 8 AS active_seconds, event_id % 5 > 0 AS captured FROM events"
 _DAY = "(((({0}) - 14400000) // 86400000) * 86400000 + 14400000)"
@@ -146,7 +179,7 @@ _P = "SELECT event_id AS id, 'c' || (user_id % 12) AS cluster_id, CASE WHEN user
 _TOP = f"SELECT cluster_id, count(*) AS total FROM ({_P}) WHERE label IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8"
 _ST = 'SELECT user_id AS run, event_type AS stage, CAST((epoch_us(ts) // 1000) AS DOUBLE) AS "at" FROM events'
 _STALL = f"""WITH seg AS (SELECT *, coalesce(lead("at") OVER (PARTITION BY run ORDER BY "at"), 'inf'::DOUBLE) AS until FROM ({_ST})),
-st AS (SELECT user_id AS run, event_id AS stall_id, CAST((epoch_us(ts) // 1000) AS DOUBLE) - 3600000 AS f, CAST((epoch_us(ts) // 1000) AS DOUBLE) + 1800000 AS t FROM events WHERE event_id % 10 = 3),
+st AS (SELECT user_id AS run, event_id AS stall_id, CAST((epoch_us(ts) // 1000) AS DOUBLE) - 3600000 AS f, CAST((epoch_us(ts) // 1000) AS DOUBLE) + 1800000 AS t FROM events),
 b AS (SELECT st.run, stall_id, f, t, stage, "at", row_number() OVER (PARTITION BY st.run, stall_id ORDER BY least(t, until) - greatest(f, "at") DESC, "at", stage DESC) AS r FROM st JOIN seg ON st.run = seg.run)
 """
 
@@ -171,6 +204,14 @@ SELECT e.cluster_id, pages, hi AS last_touched, (SELECT string_agg(coalesce(b.n,
     "page_summary": f"SELECT count(*) AS pages, count(text) AS captured, count(cluster_id) AS clustered, count(*) - count(cluster_id) AS unclustered, count(DISTINCT {_DAY.format('last_visit')}) AS days, min(last_visit) AS oldest FROM ({_P})",
     "stall_stages": _STALL + 'SELECT run, stall_id, f AS "from", t AS "to", stage, greatest(0.0, f - "at") AS "offset" FROM b WHERE r = 1',
     "stall_summary": _STALL + "SELECT stage, count(*) AS count, sum(t - f) AS total_ms, max(t - f) AS longest_ms FROM b WHERE r = 1 GROUP BY stage",
+    "worst_stall": _STALL.replace("+ 1800000 AS t", "+ 1800000 + event_id % 97 AS t") + 'SELECT run, stall_id, stage, t - f AS ms, greatest(0.0, f - "at") AS "offset" FROM b WHERE r = 1 ORDER BY ms DESC, f, run, stall_id LIMIT 1',
+    "day_navigation": f"SELECT day, lag(day) OVER (ORDER BY day) AS earlier, lead(day) OVER (ORDER BY day) AS later FROM (SELECT DISTINCT day FROM ({_SESSIONS}))",
+    "visit_window": f"SELECT strftime(make_timestamp(min(last_visit) * 1000), '%Y-%m-%d') AS oldest, strftime(make_timestamp(max(last_visit) * 1000), '%Y-%m-%d') AS newest FROM ({_P})",
+    "newest_pages": f"SELECT id, last_visit FROM ({_P}) ORDER BY last_visit DESC, id LIMIT 100",
+    "newest_captures": f"SELECT id, text AS preview FROM ({_P}) WHERE text IS NOT NULL ORDER BY last_visit DESC, id LIMIT 25",
+    "best_resources": f"SELECT id, id % 17 AS visit_count FROM ({_P}) WHERE id % 17 > 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "tier_histogram": f"SELECT id % 5 AS extraction_tier, count(*) AS n FROM ({_P}) WHERE text IS NOT NULL GROUP BY 1",
+    "vector_mix": f"SELECT count(*) - count(text) AS title, count(text) AS text FROM ({_P})",
     "stage_report": "SELECT pos, s.stage, ms, CASE WHEN ms IS NULL THEN 'did not run' ELSE 'ran' END AS status FROM (VALUES (0, 'click'), (1, 'view'), (2, 'embed'), (3, 'cluster')) s(pos, stage) LEFT JOIN (SELECT event_type AS stage, count(*) AS ms FROM events GROUP BY 1) e USING (stage)",
     "group_stats": "SELECT l_returnflag, count(l_quantity) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd, median(l_quantity) AS median FROM lineitem GROUP BY 1",
     "dwell_clock": """WITH t AS (SELECT user_id AS tab, (epoch_us(ts) // 1000) // 60000 * 1000 + event_id % 1000 AS "at", event_type AS key, event_id % 4 > 0 AS focused FROM events),

@@ -110,7 +110,7 @@ def page_rows(spark, d):
 
 
 def _captures(spark, d):
-    p = table(spark, d, "pages").where("page_id % 4 = 0")
+    p = table(spark, d, "pages")
     return p.select((F.col("page_id") * 2).cast("string").alias("id"), "url", F.lit("captured").alias("title"), F.lit("some  text").alias("text"), F.lit(2).alias("extraction_tier"), (F.lit(T0) + 10**9 + F.col("page_id")).alias("captured_at"), (F.lit(T0) + F.col("page_id")).alias("queued_at"), F.lit(7).cast("long").alias("active_seconds"))
 
 
@@ -202,10 +202,10 @@ SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, round(CASE WHEN n_chars > 0 T
 CASE WHEN (units >= 115 AND ends = 0) OR units < 65 OR score < 0.35 THEN 'poor' WHEN score < 0.6 THEN 'weak' ELSE 'good' END AS verdict FROM f""",
     "capture_gate": f"SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'incognito' WHEN NOT regexp_matches(url, '^https?://') THEN 'scheme' ELSE 'accepted' END AS reason FROM pages",
     "preview_text": r"""SELECT doc_id, CASE WHEN length(f) <= 160 THEN f WHEN contains(left(f, 160), ' ') AND 160 - strpos(reverse(left(f, 160)), ' ') > 144 THEN left(left(f, 160), 160 - strpos(reverse(left(f, 160)), ' ')::INT) ELSE left(f, 160) END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)""",
-    "merge_pages": f"""WITH p AS ({_PAGES}), c AS (SELECT CAST(page_id * 2 AS VARCHAR) AS id, {T0} + 1000000000 + page_id AS captured_at FROM pages WHERE page_id % 4 = 0)
+    "merge_pages": f"""WITH p AS ({_PAGES}), c AS (SELECT CAST(page_id * 2 AS VARCHAR) AS id, {T0} + 1000000000 + page_id AS captured_at FROM pages)
 SELECT p.id, p.title, first_visit, last_visit, visit_count, active_seconds FROM p ANTI JOIN c USING (id)
 UNION ALL SELECT c.id, 'captured', coalesce(p.first_visit, captured_at), captured_at, coalesce(p.visit_count, 0) + 1, coalesce(p.active_seconds, 0) + 7 FROM c LEFT JOIN p USING (id)""",
-    "drain_queue": f"SELECT CAST(page_id * 2 AS VARCHAR) AS id, {T0} + page_id AS queued_at FROM pages WHERE page_id % 4 = 0 ORDER BY page_id OFFSET 20",
+    "drain_queue": f"SELECT CAST(page_id * 2 AS VARCHAR) AS id, {T0} + page_id AS queued_at FROM pages ORDER BY page_id OFFSET 20",
     "delete_pages": f"SELECT CAST(page_id AS VARCHAR) AS id, {T0} + page_id * 137000 AS last_visit FROM pages WHERE page_id NOT BETWEEN 20 AND 40",
     "export_pages": f"""SELECT url, title, {_FORMAT} AS format, strftime(make_timestamp((last_visit - 5000) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS firstVisit, strftime(make_timestamp(last_visit * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS lastVisit, visit_count AS visitCount, active_seconds AS activeSeconds FROM ({_PAGES})""",
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pagestrata.plans import activity, backfill, pages, similarity
+from pagestrata.plans import activity, backfill, cases, pages, similarity
 
 FLAGSHIP = "search_topk"
-MODULES = (pages, activity, similarity, backfill)
+MODULES = (pages, activity, similarity, backfill, cases)
 
 
 def queries() -> dict:

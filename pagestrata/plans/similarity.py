@@ -65,7 +65,7 @@ def cluster_members(spark, d):
 
 def parameter_sweep(spark, d):
     rows = _rows(spark, d)
-    return vectors.sweep(spark, rows, vectors.neighbours(rows, 10, 0.2), (0.2,), (5, 10), (2, 3), 3)
+    return vectors.sweep(spark, rows, vectors.neighbours(rows, 20, 0.2), least=3)
 
 
 def communities(spark, d):
@@ -108,9 +108,10 @@ def class_labels(spark, d):
 
 
 def neighbour_stability(spark, d):
-    """One neighbour table against the same in other blocks."""
+    """Neighbours of whole vectors against those without their last two dimensions, in other blocks."""
     rows = _rows(spark, d)
-    return vectors.stable_neighbours(vectors.neighbours(rows, 6, -2.0), vectors.neighbours(rows, 6, -2.0, block=100))
+    short = rows.withColumn("x", F.slice("x", 1, F.size("x") - 2))
+    return vectors.stable_neighbours(vectors.neighbours(rows, 6, -2.0), vectors.neighbours(short, 6, -2.0, block=100))
 
 
 def title_shares(spark, d):
@@ -129,7 +130,9 @@ def cluster_report(spark, d):
 
 def same_clusters(spark, d):
     rows = _rows(spark, d).select("id", F.col("domain").alias("cluster"))
-    return reports.same_clustering(rows, rows.withColumn("cluster", F.concat(F.lit("x"), "cluster")))
+    renamed = rows.withColumn("cluster", F.concat(F.lit("x"), "cluster"))
+    moved = rows.withColumn("cluster", F.when(F.col("id") % 9 == 0, "other").otherwise(F.col("cluster")))
+    return reports.same_clustering(rows, renamed).withColumn("other", F.lit("renamed")).unionByName(reports.same_clustering(rows, moved).withColumn("other", F.lit("moved")))
 
 
 QUERIES = {f.__name__: f for f in (search_topk, search_diverse, more_like_this, neighbour_table, shared_neighbours, snn_clusters, near_groups, label_centroids, cluster_members, parameter_sweep, communities, kmeans_clusters, similarity_profile, bm25_scores, hybrid_topk, query_shapes, class_terms, class_labels, neighbour_stability, title_shares, variant_run, cluster_report, same_clusters)}
@@ -168,8 +171,15 @@ SQL = {
     "shared_neighbours": f"""WITH k AS ({_K} 10), m AS (SELECT a.src AS u, a.dst AS v FROM k a JOIN k b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst)
 SELECT u, v, (SELECT count(*) FROM k a JOIN k b ON a.dst = b.dst WHERE a.src = u AND b.src = v AND a.dst <> v) >= 4 AS kept FROM m""",
     "snn_clusters": _snn(10, 2, 0.2, 3),
-    "parameter_sweep": " UNION ALL ".join(f"""(SELECT 0.2::DOUBLE AS floor, {k} AS k, {m} AS shared, count(*) AS clusters, 1 - coalesce(sum(n), 0) / (SELECT count(*) FROM embeddings) AS noise, coalesce(max(n), 0) / (SELECT count(*) FROM embeddings) AS largest, coalesce(quantile_cont(n, 0.5), 0)::DOUBLE AS median_size,
-count(*) BETWEEN 30 AND 80 AND 1 - coalesce(sum(n), 0) / (SELECT count(*) FROM embeddings) < 0.35 AND coalesce(max(n), 0) / (SELECT count(*) FROM embeddings) < 0.10 AS in_band FROM (SELECT cluster, count(*) AS n FROM ({_snn(k, m, 0.2, 3)}) WHERE cluster IS NOT NULL GROUP BY 1))""" for k in (5, 10) for m in (2, 3)),
+    "parameter_sweep": f"""WITH RECURSIVE g AS (SELECT row_number() OVER () AS s, * FROM (SELECT unnest([0.2, 0.3, 0.4, 0.5])::DOUBLE AS floor), (SELECT unnest([5, 8, 10, 12, 15, 20]) AS k), (SELECT unnest([2, 3, 4, 5]) AS shared) WHERE shared < k),
+t AS MATERIALIZED ({_K} 20), n AS MATERIALIZED (SELECT s, src, dst FROM t JOIN g ON sim >= floor AND rank <= k),
+m AS (SELECT a.s, a.src AS u, a.dst AS v FROM n a JOIN n b ON a.s = b.s AND a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst),
+c AS (SELECT m.s, u, v, count(*) AS c FROM m JOIN n a ON a.s = m.s AND a.src = u JOIN n b ON b.s = m.s AND b.src = v AND a.dst = b.dst WHERE a.dst <> v GROUP BY 1, 2, 3),
+e AS MATERIALIZED (SELECT s, u, v FROM c JOIN g USING (s) WHERE c >= shared), b AS MATERIALIZED (SELECT s, u, v FROM e UNION SELECT s, v, u FROM e),
+r AS (SELECT s, u AS node, u AS c FROM b UNION SELECT b.s, b.v, r.c FROM r JOIN b ON r.s = b.s AND r.node = b.u), z AS (SELECT s, c, count(*) AS n FROM (SELECT s, node, min(c) AS c FROM r GROUP BY 1, 2) GROUP BY 1, 2 HAVING count(*) >= 3),
+x AS (SELECT s, count(*) AS clusters, sum(n) AS held, max(n) AS most, list_sort(list(n))[len(list(n)) // 2 + 1] AS median_size FROM z GROUP BY 1),
+y AS (SELECT floor, k, shared, coalesce(clusters, 0) AS clusters, 1 - coalesce(held, 0) / (SELECT count(*) FROM embeddings) AS noise, coalesce(most, 0) / (SELECT count(*) FROM embeddings) AS largest, coalesce(median_size, 0) AS median_size FROM g LEFT JOIN x USING (s))
+SELECT *, clusters BETWEEN 30 AND 80 AND noise < 0.35 AND largest < 0.10 AS in_band, greatest(0, 30 - clusters, clusters - 80) + greatest(0, noise - 0.35::DOUBLE) * 200 + greatest(0, largest - 0.10::DOUBLE) * 400 + CASE WHEN clusters BETWEEN 30 AND 80 AND noise < 0.35 AND largest < 0.10 THEN noise * 100 ELSE 1000 END AS penalty FROM y""",
     "variant_run": f"""SELECT (SELECT count(*) FROM embeddings) AS pages, (SELECT count(*) FROM embeddings) AS nodes, count(*) AS clusters, 1 - coalesce(sum(n), 0) / (SELECT count(*) FROM embeddings) AS noise, coalesce(max(n), 0) / (SELECT count(*) FROM embeddings) AS largest FROM (SELECT cluster, count(*) AS n FROM ({_snn(10, 2, 0.2, 3)}) WHERE cluster IS NOT NULL GROUP BY 1)""",
     "near_groups": f"""WITH RECURSIVE s AS (SELECT src AS u, dst AS v FROM ({_N}) WHERE sim >= 0.5), r AS (SELECT vec_id AS node, vec_id AS c FROM embeddings UNION SELECT s.v, r.c FROM r JOIN s ON r.node = s.u), g AS (SELECT node AS id, min(c) AS "group" FROM r GROUP BY node)
 SELECT id, "group", CAST(row_number() OVER (PARTITION BY "group" ORDER BY id % 7 DESC, length('title ' || id) DESC, id) - 1 AS INT) AS pos FROM g""",
@@ -177,11 +187,11 @@ SELECT id, "group", CAST(row_number() OVER (PARTITION BY "group" ORDER BY id % 7
     "cluster_members": f"""WITH c AS (SELECT label, list(v ORDER BY d) AS c FROM ({_CENT}) GROUP BY 1), s AS (SELECT CAST(label AS VARCHAR) AS cluster, vec_id AS id, list_dot_product(embedding::DOUBLE[], c) AS sim FROM embeddings JOIN c USING (label))
 SELECT * FROM (SELECT cluster, id, round(sim, 6) AS sim, CAST(row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, id) AS INT) AS pos FROM s) WHERE pos <= 8""",
     "similarity_profile": f"SELECT round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.9), 6) AS p90, round(quantile_cont(sim, 0.99), 6) AS p99, round(quantile_cont(sim, 0.999), 6) AS p99_9, round(max(sim), 6) AS p100, count(*) AS pairs FROM ({_N}) WHERE src < dst",
-    "neighbour_stability": "SELECT vec_id AS src, TRUE AS same FROM embeddings",
+    "neighbour_stability": "SELECT src, a = b AS same FROM " + " JOIN ".join(f"(SELECT src, list(dst ORDER BY rank) AS {c} FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM ({n})) WHERE rank <= 6 GROUP BY src)" for c, n in (("a", _N), ("b", _N.replace("embedding::DOUBLE[]", "embedding[:len(a.embedding) - 2]::DOUBLE[]")))) + " USING (src)",
     "title_shares": "SELECT CAST(label AS VARCHAR) AS cluster, count(*) AS size, avg(CAST(contains(CAST(vec_id AS VARCHAR), '7') AS INT)) AS share FROM embeddings GROUP BY 1",
     "cluster_report": f"""WITH c AS (SELECT label, list(v ORDER BY d) AS c FROM ({_CENT}) GROUP BY 1), s AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY list_dot_product(embedding::DOUBLE[], c) DESC, vec_id) AS pos FROM embeddings JOIN c USING (label))
 SELECT CAST(label AS VARCHAR) AS cluster, count(*) AS size, CAST(sum(vec_id % 7) AS BIGINT) AS visits, string_agg('title ' || vec_id, '; ' ORDER BY pos) FILTER (pos <= 8) AS titles, CAST(label AS VARCHAR) AS domains FROM s GROUP BY label""",
-    "same_clusters": "SELECT TRUE AS same",
+    "same_clusters": " UNION ALL ".join(f"""SELECT '{name}' AS other, bool_and(a = b) AS same FROM (SELECT min(vec_id) OVER (PARTITION BY label) AS a, min(vec_id) OVER (PARTITION BY {other}) AS b FROM embeddings)""" for name, other in (("renamed", "'x' || label"), ("moved", "CASE WHEN vec_id % 9 = 0 THEN 'other' ELSE CAST(label AS VARCHAR) END"))),
     "bm25_scores": _BM + "SELECT id, round(bm25, 6) AS bm25 FROM b",
     "hybrid_topk": _BM.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))") + f""", c AS (SELECT s.id, score AS cosine, coalesce(bm25, 0) AS bm25 FROM ({_S}) s JOIN documents ON doc_id = s.id LEFT JOIN b ON b.id = s.id)
 SELECT id, round(0.5 * (cosine - min(cosine) OVER ()) / (max(cosine) OVER () - min(cosine) OVER ()) + 0.5 * (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()), 6) AS score FROM c ORDER BY 2 DESC, 1 LIMIT 10""",

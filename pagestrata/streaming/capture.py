@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,6 +31,38 @@ def dwell(ticks: DataFrame) -> DataFrame:
     return sums.groupBy("tab", "key", "island").agg(F.sum("f").alias("focused_ms"), F.floor(F.sum("a") / 1000).alias("active_seconds"), F.min(F.when(F.col("so_far") >= DWELL_MS, F.col("at"))).alias("captured_at"))
 
 
+_CLOCK = "last_at long, key string, island int, focused long, active long, sent boolean"
+_READ = "tab long, key string, island int, focused_ms long, active_seconds long, captured_at long"
+
+
+def dwell_stream(ticks: DataFrame, tab: str = "long") -> DataFrame:
+    """The dwell clock on a stream of ticks: one row for each page at the moment that it has been in focus long enough, as ``captured(dwell(...))`` has it.
+
+    A tab's state is its last tick, its island and its sums, so state grows with open tabs alone. Ticks that come after later ones of their tab count for no time.
+    """
+    import pandas as pd
+
+    def clock(names, frames, state):
+        last, key, island, focused, active, sent = state.get if state.exists else (None, None, 0, 0, 0, False)
+        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
+        out = []
+        for at, now, focus, seen in rows[["at", "key", "focused", "last_input"]].itertuples(index=False):
+            gap = 0 if last is None else max(0, min(TICK_MS, int(at) - last))
+            if now != key:
+                key, island, focused, active, sent = now, island + 1, 0, 0, False
+            elif focus:
+                focused += gap
+                active += gap if int(at) - int(seen) <= INPUT_MS else 0
+            last = int(at) if last is None else max(last, int(at))
+            if focused >= DWELL_MS and not sent:
+                sent = True
+                out.append((names[0], key, island, focused, active // 1000, int(at)))
+        state.update((last, key, island, focused, active, sent))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _READ.split(", ")])
+
+    return ticks.groupBy("tab").applyInPandasWithState(clock, _READ.replace("tab long", f"tab {tab}"), _CLOCK, "append", "NoTimeout")
+
+
 def captured(islands: DataFrame) -> DataFrame:
     """Pages read long enough: one row each."""
     return islands.where(F.col("focused_ms") >= DWELL_MS)
@@ -61,14 +95,24 @@ def drain(pages: DataFrame, queued: DataFrame, most: int = DRAIN) -> tuple[DataF
 
 
 def run_drain(stream: DataFrame, pages_path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Merges each micro-batch of accepted captures into the page table; a replayed batch is skipped by its number."""
+    """Merges each micro-batch of accepted captures into the page table; a replayed batch is told by its stream and number, and skipped.
+
+    A new checkpoint is a new stream: its batches count from 0 and are all merged.
+    """
+    stream_id = None
 
     def merge(batch: DataFrame, number: int) -> None:
+        nonlocal stream_id
         spark = batch.sparkSession
+        if stream_id is None:  # the checkpoint's own id, the same after a restart
+            stream_id = spark.read.text(f"{checkpoint}/metadata").first().value
+        token = f"{json.loads(stream_id)['id']}-{number}"
+        if store.written(spark, pages_path, token):
+            return
         old = store.load(spark, pages_path)
         empty = spark.createDataFrame([], "id string, normalized_url string, topics array<string>, first_visit long, visit_count long, active_seconds long")
         merged = store.merge_captures(empty if old is None else old, queue(batch))
-        store.save(spark, merged if old is None else store.upsert(old, merged), pages_path, number)
+        store.save(spark, merged if old is None else store.upsert(old, merged), pages_path, token)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
