@@ -57,7 +57,7 @@ def components(spark: SparkSession, edges: DataFrame, per_task: int = PER_TASK)
     schema = "u long, v long"
     forests = checkpointed(spark, edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, schema))
     tasks = max(1, -(-forests.count() // per_task))
-    edges = checkpointed(spark, forests.coalesce(tasks).mapInArrow(_contract, schema).distinct())
+    edges = checkpointed(spark, forests.coalesce(tasks).mapInArrow(_contract, schema).repartition("u", "v").distinct())
     while not _stars(edges):
         edges = _round(spark, edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
