@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 
 def low(text):
@@ -56,3 +56,25 @@ def edits(a, b):
         for j, y in enumerate(b, 1):
             row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
     return row[-1]
+
+
+def plain_words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower().strip(" \t\n\x0b\x0c\r")) if w]
+
+
+def window_similarity(text, item, k=5):
+    """The best weighted Jaccard similarity of an item and any window of its length, or the whole of a shorter text."""
+    a, b = plain_words(text), plain_words(item)
+    k = min(k, len(b))
+    if not b or len(a) < k:
+        return 0.0
+    grams = lambda w: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    own = grams(b)
+    if not own & grams(a):
+        return 0.0
+    best = 0.0
+    for i in range(max(0, len(a) - len(b)) + 1):
+        held = grams(a[i : i + len(b)])
+        both = sum((held & own).values())
+        best = max(best, both / (sum(held.values()) + sum(own.values()) - both))
+    return best
