@@ -83,6 +83,16 @@ def timeline_x(ms: Column, day: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), (ms - day) / (24 * 3600 * 1000) * 100))
 
 
+def week_label(week: Column) -> Column:
+    """A week's short date, by its Monday."""
+    return F.date_format(stamp(week), "MMM d")
+
+
+def took(ms: Column) -> Column:
+    """A duration: milliseconds below a second, else seconds with two places."""
+    return F.when(ms < 1000, F.concat(F.round(ms).cast("long").cast("string"), F.lit("ms"))).otherwise(F.format_string("%.2fs", ms.cast("double") / 1000))
+
+
 def calendar_day_start(ms: Column) -> Column:
     """Midnight at or before a time."""
     return millis(F.date_trunc("DAY", stamp(ms)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,6 +62,30 @@ def paused(now: int, minutes: int | None = None, indefinite: bool = False) -> tu
     return (None, True) if indefinite else (now + minutes * 60_000 if minutes else None, False)
 
 
+def pause_until(raw: Column) -> Column:
+    """(until, indefinite) of a stored pause as JSON; anything but a number or "indefinite" reads as not paused."""
+    until = F.try_variant_get(F.try_parse_json(raw), "$.until", "variant")
+    kind = F.coalesce(F.schema_of_variant(until), F.lit("VOID"))
+    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return F.struct(F.when(number, F.try_variant_get(until, "$", "long")).alias("until"), F.coalesce((kind == "STRING") & (F.try_variant_get(until, "$", "string") == "indefinite"), F.lit(False)).alias("indefinite"))
+
+
+def clustering_dump(nodes: DataFrame, groups: DataFrame, pages: DataFrame, facts: dict) -> DataFrame:
+    """JSON lines of a whole clustering: one of ``facts`` (settings, counts), one a node and one a page.
+
+    ``nodes``: (id, cluster, sim) by group, cluster null for noise. Pages name their node, nodes their cluster, so that no
+    row grows with a cluster or a group.
+    """
+    spark = nodes.sparkSession
+    sizes = groups.groupBy("group").agg(F.count("*").alias("collapsed"), F.min_by("id", "pos").alias("rep"))
+    shown = nodes.withColumnRenamed("id", "group").join(sizes, "group").join(pages.select(F.col("id").alias("rep"), "title", "embed_text", "normalized_url", "visit_count"), "rep")
+    kind = F.when(F.col("cluster").isNull(), "noise").otherwise("node").alias("kind")
+    node = F.to_json(F.struct(kind, F.col("group").alias("node"), "cluster", "title", F.col("embed_text").alias("embedded"), F.col("normalized_url").alias("url"), F.col("visit_count").alias("visitCount"), "collapsed", F.round("sim", 4).alias("simToCentroid")))
+    page = F.to_json(F.struct(F.lit("page").alias("kind"), F.col("group").alias("node"), F.col("normalized_url").alias("url")))
+    first = spark.createDataFrame([(json.dumps({"kind": "facts"} | facts),)], "value string")
+    return first.unionByName(shown.select(node.alias("value"))).unionByName(groups.join(pages.select("id", "normalized_url"), "id").select(page.alias("value")))
+
+
 def aggressive_suffixes(titles: DataFrame, least: int = 3) -> DataFrame:
     """(tail, n): endings on at least ``least`` titles whatever their number; an experiment's variant."""
     return titles.select(text.tail(F.col("title")).alias("tail")).where("tail IS NOT NULL").groupBy("tail").agg(F.count("*").alias("n")).where(F.col("n") >= least)

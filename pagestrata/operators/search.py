@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagestrata.functions import text, vectors
+from pagestrata.operators import store
 from pagestrata.session import checkpointed
 
 POOL, DOMAIN_CAP, QUERY_CHARS = 6, 3, 512
@@ -65,6 +66,29 @@ def search_index(pages: DataFrame, groups: DataFrame | None = None, clusters: Da
     return pages.withColumn("preview", text.cap(F.when(has_text, F.col("text")).otherwise(F.col("title")), text.PREVIEW)).withColumn("captured", has_text)
 
 
+class StoredIndex:
+    """The search index of a stored page table, kept by the executors until the table has a newer version."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self._version: int | None = None
+        self._rows: DataFrame | None = None
+
+    def rows(self) -> DataFrame | None:
+        """The index of the latest version; None of a table without one."""
+        found = store.versions(self.spark, self.path)
+        if found and found[-1] != self._version:
+            self.drop()
+            self._rows, self._version = search_index(store.load(self.spark, self.path)).persist(), found[-1]
+        return self._rows
+
+    def drop(self) -> None:
+        """Frees the rows; the next call reads the table anew."""
+        if self._rows is not None:
+            self._rows.unpersist()
+        self._rows = self._version = None
+
+
 def top_k(rows: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
     """The k rows of (id, x, ...) with the highest products with ``query``; ties to the smaller id. Each task keeps k."""
     rows = rows if where is None else rows.where(where)

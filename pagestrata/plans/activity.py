@@ -153,6 +153,16 @@ def time_texts(spark, d):
     return e.select("event_id", times.clock(ms).alias("clock"), times.time_range(ms, ms + 3_600_000 * (F.col("event_id") % 60)).alias("span"), times.remaining(ms % 100_000_000).alias("left_over"), times.ago(ms, F.lit(NOW)).alias("ago"), times.day_label(times.day_start(ms), F.lit(NOW)).alias("label"))
 
 
+def settled_bursts(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return capture.debounced(e, "user_id", "6 hours").select("user_id", times.millis(F.col("due")).alias("due"), "captures")
+
+
+def format_texts(spark, d):
+    ms, e = F.col("event_id") * 370 % 50_000, table(spark, d, "events")
+    return e.select("event_id", times.took(ms).alias("took"), times.week_label(times.week_start(times.millis(F.col("ts")))).alias("week"), F.format_number(F.col("event_id") * 1_001, 0).alias("count"))
+
+
 def queue_latest(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("id"), "event_type", F.col("event_id").alias("queued_at"))
     return store.latest(e, "id", "queued_at")
@@ -162,7 +172,7 @@ def range_scan(spark, d):
     return store.in_range(_pages(spark, d), 1_705_000_000_000, 1_705_500_000_000)
 
 
-QUERIES = {f.__name__: f for f in (sessions_by_user, sessions_all, day_summary, session_names, weekly_topics, weekly_excluded, topic_cards, domain_facet, top_domains, page_summary, stall_stages, stall_summary, worst_stall, day_navigation, visit_window, newest_pages, newest_captures, best_resources, tier_histogram, vector_mix, stage_report, group_stats, dwell_clock, history_windows, history_join, time_days, time_texts, queue_latest, range_scan)}
+QUERIES = {f.__name__: f for f in (sessions_by_user, sessions_all, day_summary, session_names, weekly_topics, weekly_excluded, topic_cards, domain_facet, top_domains, page_summary, stall_stages, stall_summary, worst_stall, day_navigation, visit_window, newest_pages, newest_captures, best_resources, tier_histogram, vector_mix, stage_report, group_stats, dwell_clock, history_windows, history_join, time_days, time_texts, settled_bursts, format_texts, queue_latest, range_scan)}
 
 _V = "SELECT event_id AS id, user_id, event_type AS title, event_type AS domain, (epoch_us(ts) // 1000) - 1000 AS first_visit, (epoch_us(ts) // 1000) AS last_visit, event_id % 8 AS active_seconds, event_id % 5 > 0 AS captured FROM events"
 _DAY = "(((({0}) - 14400000) // 86400000) * 86400000 + 14400000)"
@@ -229,6 +239,11 @@ SELECT event_id, lower(strftime(a, '%-I:%M%p')) AS clock, CASE WHEN strftime(a,
 CASE WHEN k < 60 THEN k || ' min' WHEN k % 60 = 0 THEN (k // 60) || 'h' ELSE (k // 60) || 'h ' || (k % 60) || 'm' END AS left_over,
 CASE WHEN g < 1 THEN 'just now' WHEN g < 60 THEN g || ' min ago' WHEN g < 1440 THEN (g // 60) || 'h ' || (g % 60) || 'm ago' ELSE (g // 1440) || 'd ago' END AS ago,
 CASE q WHEN 0 THEN 'Today' WHEN 1 THEN 'Yesterday' ELSE strftime(make_timestamp(d * 1000), '%a, %b %-d') END AS label FROM u""",
+    "settled_bursts": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS brk FROM events),
+r AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id, epoch_us(max(ts)) // 1000 + 21600000 AS due, count(*) AS captures FROM r GROUP BY user_id, run""",
+    "format_texts": """SELECT event_id, CASE WHEN event_id * 370 % 50000 < 1000 THEN (event_id * 370 % 50000) || 'ms' ELSE printf('%.2fs', event_id * 370 % 50000 / 1000.0::DOUBLE) END AS took,
+strftime(date_trunc('week', make_timestamp(epoch_us(ts))), '%b %-d') AS week, format('{:,}', event_id * 1001) AS "count" FROM events""",
     "queue_latest": "SELECT user_id AS id, arg_max(event_type, event_id) AS event_type, max(event_id) AS queued_at FROM events GROUP BY 1",
     "range_scan": "SELECT event_id AS id FROM events WHERE (epoch_us(ts) // 1000) BETWEEN 1705000000000 AND 1705500000000",
 }

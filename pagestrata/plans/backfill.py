@@ -6,13 +6,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata.functions import embed, fixed, text, urls
 from pagestrata.operators import filtering, labels, search, vectors
 from pagestrata.plans.pages import visits
-from pagestrata.session import checkpointed
+from pagestrata.session import checkpointed, single_flight
 
 STAGES = ("filter", "embed", "collapse", "cluster", "label")
 
@@ -27,11 +27,16 @@ class Corpus:
     groups: DataFrame
     members: DataFrame
     clusters: DataFrame
+    nodes: DataFrame
+    found: filtering.Filtered
     stage_ms: dict[str, int] = field(default_factory=dict)
 
 
-def backfill(spark: SparkSession, rows: DataFrame, encode: Callable | None = None, per_visit: bool = False, categories: tuple[str, ...] = fixed.CATEGORIES, threshold: float = 0.97, k: int = 10, shared: int = 4, floor: float = 0.2, least: int = 5, cancelled: Callable[[], bool] = lambda: False, progress: Callable[[str], None] = lambda stage: None) -> Corpus:
-    """Filters, embeds, collapses, clusters and names visits. Each stage ends in a checkpoint, where it can be cancelled."""
+def backfill(spark: SparkSession, rows: DataFrame, encode: Callable | None = None, per_visit: bool = False, categories: tuple[str, ...] = fixed.CATEGORIES, threshold: float = 0.97, k: int = 10, shared: int = 4, floor: float = 0.2, least: int = 5, strip: bool = True, newest: int | None = None, clusterer: Callable[[SparkSession, DataFrame], DataFrame] | None = None, cancelled: Callable[[], bool] = lambda: False, progress: Callable[[str], None] = lambda stage: None) -> Corpus:
+    """Filters, embeds, collapses, clusters and names visits. Each stage ends in a checkpoint, where it can be cancelled.
+
+    ``newest`` keeps only so many of the latest pages. ``clusterer`` makes (id, cluster) of nodes (id, x) in another way than by shared neighbours.
+    """
     took: dict[str, int] = {}
     encode = encode or embed.embedder()
 
@@ -44,16 +49,34 @@ def backfill(spark: SparkSession, rows: DataFrame, encode: Callable | None = Non
         took[name] = int((time.time() - began) * 1000)
         return out
 
-    pages = stage("filter", lambda: filtering.filter_visits(rows, per_visit, True, categories).pages.withColumn("key", urls.hash_id(F.col("normalized_url"))).withColumn("id", F.xxhash64("normalized_url")))
+    found: list[filtering.Filtered] = []
+
+    def kept() -> DataFrame:
+        found.append(filtering.filter_visits(rows, per_visit, strip, categories))
+        all_pages = found[0].pages.withColumn("key", urls.hash_id(F.col("normalized_url"))).withColumn("id", F.xxhash64("normalized_url"))
+        return all_pages if newest is None else all_pages.orderBy(F.desc("last_visit"), "id").limit(newest)
+
+    pages = stage("filter", kept)
     pages = stage("embed", lambda: pages.withColumn("x", encode(F.col("embed_text"))))
     groups = stage("collapse", lambda: vectors.collapse(spark, pages.select("id", "x", "visit_count", "title"), threshold))
     nodes = checkpointed(spark, vectors.centroids(groups.join(pages.select("id", "x"), "id"), "group").select(F.col("group").alias("id"), F.col("centroid").alias("x")))
-    members = stage("cluster", lambda: vectors.cluster(spark, nodes, vectors.neighbours(nodes, k, floor), k, shared, floor, least))
+    members = stage("cluster", lambda: clusterer(spark, nodes) if clusterer else vectors.cluster(spark, nodes, vectors.neighbours(nodes, k, floor), k, shared, floor, least))
     placed = groups.join(members.select(F.col("id").alias("group"), "cluster"), "group")
     titles = placed.where("cluster IS NOT NULL").join(pages.select("id", "embed_text"), "id").select(F.col("cluster").alias("class"), F.col("id").alias("title_id"), F.col("embed_text").alias("title"))
     clusters = stage("label", lambda: labels.label(titles).select(F.col("class").cast("string").alias("cluster_id"), "label"))
     pages = pages.join(placed.select("id", F.col("cluster").cast("string").alias("cluster_id")), "id", "left").withColumn("text", F.lit("")).withColumn("format", urls.page_format(urls.parts(F.col("url"))))
-    return Corpus(pages, groups, placed, clusters, took)
+    return Corpus(pages, groups, placed, clusters, nodes, found[0], took)
+
+
+def backfill_once(spark: SparkSession, rows: DataFrame, lock: str, progress: Callable[[str], None] = lambda stage: None, **options) -> Corpus:
+    """backfill as the only one of its lock file; Busy while another runs. Every stage renews the lock."""
+    with single_flight(spark, lock) as renew:
+
+        def begun(stage: str) -> None:
+            renew()
+            progress(stage)
+
+        return backfill(spark, rows, progress=begun, **options)
 
 
 def summary(corpus: Corpus) -> DataFrame:
@@ -63,6 +86,26 @@ def summary(corpus: Corpus) -> DataFrame:
     return nodes.join(F.broadcast(corpus.clusters.agg(F.count("label").alias("named"))))
 
 
+@dataclass
+class Answer:
+    hits: list[Row]
+    scanned: int
+    timings: dict[str, int]
+
+
+def answer(spark: SparkSession, corpus: Corpus, query: str, limit: int = 20, filters: search.Filters = search.Filters(), encode: Callable | None = None) -> Answer:
+    """``ask`` with its at most ``limit`` hits fetched, the number of rows that the index holds, and what each part took in milliseconds."""
+    clock = [time.perf_counter()]
+    scanned = search.search_index(corpus.pages, corpus.groups, corpus.clusters).count()
+    clock.append(time.perf_counter())
+    found = ask(spark, corpus, query, limit, filters, encode)
+    clock.append(time.perf_counter())
+    hits = found.collect()
+    clock.append(time.perf_counter())
+    ms = lambda a, b: round((clock[b] - clock[a]) * 1000)
+    return Answer(hits, scanned, {"load_ms": ms(0, 1), "embed_ms": ms(1, 2), "scan_ms": ms(2, 3), "total_ms": ms(0, 3)})
+
+
 def ask(spark: SparkSession, corpus: Corpus, query: str, limit: int = 20, filters: search.Filters = search.Filters(), encode: Callable | None = None) -> DataFrame:
     """Search by text: the query, cut at 512 characters, is embedded as pages are."""
     x = spark.createDataFrame([(query[: search.QUERY_CHARS],)], "q string").select((encode or embed.embedder())(F.col("q")).alias("x")).first().x

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +52,44 @@ def checkpointed(spark: SparkSession, frame: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint(eager=True)
+
+
+class Busy(Exception):
+    """Another job holds the lock."""
+
+
+@contextmanager
+def single_flight(spark: SparkSession, path: str, lease: int = 3_600) -> Iterator[Callable[[], None]]:
+    """Holds a job's lock file; Busy while another job does. Yields a function that renews the lock.
+
+    A lock not renewed for ``lease`` seconds is a dead driver's and is taken over. One of two jobs wins only where the
+    store creates files atomically, as HDFS does.
+    """
+    jvm, owner = spark._jvm, uuid.uuid4().hex
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def holder() -> str:
+        stream = fs.open(place)
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    if fs.exists(place):
+        if time.time() * 1000 - fs.getFileStatus(place).getModificationTime() <= lease * 1000:
+            raise Busy(path)
+        fs.delete(place, False)
+    try:
+        out = fs.create(place, False)
+    except Exception as error:
+        if fs.exists(place):
+            raise Busy(path) from error
+        raise
+    out.write(owner.encode())
+    out.close()
+    try:
+        yield lambda: fs.setTimes(place, int(time.time() * 1000), -1)
+    finally:
+        if fs.exists(place) and holder() == owner:
+            fs.delete(place, False)

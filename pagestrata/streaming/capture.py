@@ -117,6 +117,15 @@ def run_drain(stream: DataFrame, pages_path: str, checkpoint: str, **trigger) ->
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def debounced(captures: DataFrame, by: str, wait: str = "2 minutes", time: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """(by, due, captures): the moments at which work put off by ``wait`` after every capture is due, one for each burst.
+
+    Captures at most ``wait`` apart are one burst. On a stream a row comes out once the watermark has passed its due time, so a rebuild runs once a burst has settled.
+    """
+    rows = captures.withWatermark(time, late) if captures.isStreaming else captures
+    return rows.groupBy(by, F.session_window(time, wait).alias("w")).agg(F.count("*").alias("captures")).select(by, F.col("w.end").alias("due"), "captures")
+
+
 def session_stream(events: DataFrame, time: str = "ts", key: str = "user_id", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Session windows over a stream; those still open at the watermark are held back, the batch operator stays the source of truth."""
     return events.withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
