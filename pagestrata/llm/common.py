@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -13,6 +13,9 @@ from pagestrata.session import checkpointed  # noqa: F401
 #: White space of the word rule: space and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of a batch on its way to a Python worker; each task holds some copies of one, in the JVM's native memory and the worker's.
+BATCH = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,3 +34,19 @@ def pieces(batch: pa.RecordBatch, text: str, chunk_bytes: int) -> Iterator[pa.Re
             start, held = i, 0
         held += n
     yield batch.slice(start)
+
+
+def map_batches(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``docs.mapInArrow`` with batches of at most BATCH bytes, or one row. The session keeps that bound; a smaller one of its own stays."""
+    conf = docs.sparkSession.conf
+    if _bytes(conf.get(_BATCH_BYTES)) > BATCH:
+        conf.set(_BATCH_BYTES, str(BATCH))
+    return docs.mapInArrow(run, schema)
+
+
+def _bytes(size: str) -> int:
+    """A size as Spark writes it, such as 64m or 67108864b."""
+    units = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    size = size.strip().lower()
+    digits = size.rstrip("bgkm")
+    return int(digits) * units[size[len(digits) :]]

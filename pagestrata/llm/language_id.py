@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm.common import documents, pieces
+from pagestrata.llm.common import documents, map_batches, pieces
 
 PER_LANGUAGE, TRAIN_CHARS, ALL_CHARS = 800, 4_000_000, 128_000_000
 #: Nats that a switch of language costs; share of a language's words from which a script is one of its own.
@@ -240,7 +240,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(langs), pa.array(np.where(dull, 0.0, score)), spans], [key, "lang_pred", "score", "spans"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double, spans array<struct<lang:string,first_word:long,n_words:long>>")
+    return map_batches(docs.select(key, text), run, f"{key} {kind}, lang_pred string, score double, spans array<struct<lang:string,first_word:long,n_words:long>>")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +280,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
                 keep = ~dull & sure & np.array([x != "und" for x in langs], bool)
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema).select(columns)
+    return map_batches(docs, run, schema).select(columns)
 
 
 QUERIES = {"op1_language_id": op1_language_id}

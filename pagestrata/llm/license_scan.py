@@ -20,7 +20,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.llm.common import documents, pieces
+from pagestrata.llm.common import documents, map_batches, pieces
 
 #: Fixed by the contract.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -155,7 +155,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
                 rows = [scan(x.as_py(), phrases, notices) for x in part.column(text)]
                 yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array([r[c] for r in rows], t) for c, t in _TYPES.items())], [key, *_TYPES])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, {_SCHEMA}")
+    return map_batches(docs.select(key, text), run, f"{key} {docs.schema[key].dataType.simpleString()}, {_SCHEMA}")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagestrata.llm.common import checkpointed, documents, pieces
+from pagestrata.llm.common import checkpointed, documents, map_batches, pieces
 from pagestrata.operators.graph import components
 from pagestrata.llm.shingles import distinct, mix, shingle_hashes
 
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: i
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(size.astype(np.int64)), *map(pa.array, prints), lists], ["doc", "n", "fp1", "fp2", "bands"])
 
-    return docs.select(key, text).mapInArrow(run, "doc long, n long, fp1 long, fp2 long, bands array<long>")
+    return map_batches(docs.select(key, text), run, "doc long, n long, fp1 long, fp2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -99,7 +99,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 ends = np.searchsorted(o, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["doc", "grams"])
 
-    return docs.select(key, text).mapInArrow(run, "doc long, grams array<long>")
+    return map_batches(docs.select(key, text), run, "doc long, grams array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

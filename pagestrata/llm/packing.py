@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.llm.common import documents, pieces
+from pagestrata.llm.common import documents, map_batches, pieces
 
 LENGTH, WINDOW = 2_048, 1_000_000
 
@@ -148,7 +148,7 @@ def pack_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
         if found:
             yield from _cut(_rows(found, length, tokens.end, serial))
 
-    return docs.select(key, text).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(key, text), run, SCHEMA)
 
 
 def _cut(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.llm.common import documents, pieces
+from pagestrata.llm.common import documents, map_batches, pieces
 
 MARK = "▁"
 PART = re.compile(f"{MARK}+|[^{MARK}\n]+")
@@ -296,7 +296,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, key: str = "doc_id",
                 tokens = [compiled.text(x.as_py()) for x in texts]
                 yield pa.RecordBatch.from_arrays([part.column(key), sizes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], [key, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs.select(key, text), run, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -666,3 +666,28 @@ def test_pipeline_awkward(spark, data, awkward, empty, tmp_path):
         held = {d for r in found for d in r.doc_ids}
         # With one language learned, what is in its script stays: of copies the smallest id, and the row without one.
         assert held == (set() if i else {None, 4, 5, 6, 9, 10} & held) and (i or {None, 6} <= held)
+
+
+def test_batches_are_bounded(spark):
+    """A worker's batches hold at most BATCH bytes, or one row of more; a session's own smaller bound stays."""
+    import pyarrow as pa
+    from pagestrata.llm import common
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.column(1).nbytes])], ["n", "size"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        docs = spark.range(40).selectExpr("id", "repeat('x', if(id = 7, 9000000, 500000)) AS text").coalesce(1)
+        rows = common.map_batches(docs, run, "n long, size long").collect()
+        assert sum(r.n for r in rows) == 40
+        assert all(r.size <= common.BATCH + 1_000_000 or r.size >= 9_000_000 for r in rows) and len(rows) > 3
+        spark.conf.set(name, "1MB")
+        common.map_batches(docs, run, "n long, size long")
+        assert spark.conf.get(name) == "1MB"
+    finally:
+        spark.conf.set(name, before)
+    assert [common._bytes(x) for x in ("64m", "4096", "67108864b", "2kB")] == [64 << 20, 4096, 64 << 20, 2048]
