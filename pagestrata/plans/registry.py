@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pagestrata.plans import activity, backfill, cases, pages, similarity
+from pagestrata.plans import activity, backfill, cases, orderings, pages, similarity
 
 FLAGSHIP = "search_topk"
-MODULES = (pages, activity, similarity, backfill, cases)
+MODULES = (pages, activity, similarity, backfill, cases, orderings)
 
 
 def queries() -> dict:

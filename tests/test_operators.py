@@ -220,3 +220,19 @@ def test_session_stream(spark, data, tmp_path):
     pages = events.select(F.col("event_id").alias("id"), "user_id", F.expr("unix_millis(CAST(ts AS TIMESTAMP))").alias("last_visit"))
     batch = sessions.number_runs(pages, ["user_id"], gap=30 * 60_000 - 1).select("user_id", "run").distinct().count()
     assert 0 <= batch - spark.table("session_stream").count() <= 5
+
+
+def test_places_over_partitions(spark):
+    """Places are those of a plain sort, over many partitions, with nulls, repeated rows and none at all."""
+    from pyspark.sql import functions as F
+
+    from pagestrata.operators import ordering
+
+    rows = [(None if i % 11 == 0 else i * 7919 % 50, i) for i in range(3_000)] + [(5, 1), (5, 1)]
+    frame = spark.createDataFrame(rows, "a int, b long").repartition(7)
+    with_places = ordering.numbered(frame, F.desc("a"), "b")
+    assert with_places.columns == ["a", "b", "place"]
+    got = sorted((r.place, r.a, r.b) for r in with_places.collect())
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert got == [(i, *r) for i, r in enumerate(want)]
+    assert ordering.numbered(frame.where("b < 0"), "a", "b").collect() == []
