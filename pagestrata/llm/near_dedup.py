@@ -112,7 +112,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _second_round(spark: SparkSession, left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (u, v) that are missing between components of one soup: (soup, members, rep, n, component, grams).
 
-    A soup's pivot is its set P nearest to the shingles that most members have. With D(x) the symmetric
+    A soup's pivot is its set P nearest to the shingles that at least half of its members have; where no shingle is so
+    common, P is the empty set, which nothing is linked with. With D(x) the symmetric
     difference of x and P, that of two sets is that of their D's, and a linked pair differs in at most
     t * (sizes) shingles, t = (100 - percent) / (100 + percent). A set x that isn't linked with P has
     more than t * (|x| + |P|) of them in D(x), so any partner y shares at least
@@ -129,24 +130,25 @@ def _second_round(spark: SparkSession, left: DataFrame, sets: DataFrame, percent
     near = checkpointed(spark, near)
     pivots = near.groupBy("soup").agg(F.max("best").alias("best")).select("soup", (-F.col("best.minus")).alias("pivot"), F.col("best.np").alias("np"))
     pivots = checkpointed(spark, pivots.join(sets.toDF("pivot", "pivot_grams"), "pivot"))
-    apart = left.join(pivots, "soup").withColumn("d", F.concat(F.array_except("grams", "pivot_grams"), F.array_except("pivot_grams", "grams"))).drop("grams", "pivot_grams")
+    apart = left.join(pivots, "soup", "left").withColumns({"np": F.coalesce("np", F.lit(0)), "pivot_grams": F.coalesce("pivot_grams", F.expr("cast(array() as array<long>)"))})
+    apart = apart.withColumn("d", F.concat(F.array_except("grams", "pivot_grams"), F.array_except("pivot_grams", "grams"))).drop("grams", "pivot_grams")
     both = (F.col("n") + F.col("np") - F.size("d")) / 2
     apart = checkpointed(spark, apart.withColumn("linked", both * 100 >= (F.col("n") + F.col("np") - both) * percent).withColumn("size_d", F.size("d")))
     spokes = apart.where("linked and rep <> pivot").select(F.least("pivot", "rep").alias("u"), F.greatest("pivot", "rep").alias("v"))
     main = checkpointed(spark, apart.where("linked").select("soup", "component").distinct().withColumn("main", F.lit(True)))
-    apart = apart.join(main, ["soup", "component"], "left").withColumn("part", F.when(F.col("main"), F.lit(-1)).otherwise(F.col("component")))
+    # P's own id names all parts that are P's: no other part has it, whatever ids there are.
+    apart = apart.join(main, ["soup", "component"], "left").withColumn("stray", F.col("main").isNull()).withColumn("part", F.when(F.col("stray"), F.col("component")).otherwise(F.col("pivot")))
 
     whole = lambda x: F.ceil(x - 1e-9)
-    stray = F.col("part") != -1
     ratio = 100 / percent
-    least = F.greatest(F.lit(1), F.when(stray, whole(F.col("size_d") - t * F.col("n") * (1 + ratio))).otherwise(whole((F.col("size_d") + t * (F.col("np") - F.col("n"))) / 2)))
-    entries = checkpointed(spark, apart.select("soup", "rep", "n", "part", "size_d", least.alias("least"), F.explode("d").alias("gram")))
+    least = F.greatest(F.lit(1), F.when(F.col("stray"), whole(F.col("size_d") - t * F.col("n") * (1 + ratio))).otherwise(whole((F.col("size_d") + t * (F.col("np") - F.col("n"))) / 2)))
+    entries = checkpointed(spark, apart.select("soup", "rep", "n", "part", "stray", "size_d", least.alias("least"), F.explode("d").alias("gram")))
     df = entries.groupBy("soup", "gram").agg(F.count("*").alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("df > 1 and lo <> hi").select("soup", "gram", "df")
     df = checkpointed(spark, df)
     own = Window.partitionBy("soup", "rep")
     met = entries.join(df, ["soup", "gram"]).withColumn("shared", F.count("*").over(own)).where("shared >= least").withColumn("rank", F.row_number().over(own.orderBy("df", "gram")))
-    prefix = checkpointed(spark, met.where("rank <= shared - least + 1").select("soup", "gram", "rep", "n", "part", "size_d", "shared"))
-    a = prefix.where(stray).select("soup", "gram", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "part", "size_d", "shared")))
+    prefix = checkpointed(spark, met.where("rank <= shared - least + 1").select("soup", "gram", "rep", "n", "part", "stray", "size_d", "shared"))
+    a = prefix.where("stray").select("soup", "gram", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "part", "size_d", "shared")))
     need = whole((F.col("size_d") + F.col("size_d_a") - t * (F.col("n") + F.col("n_a"))) / 2)
     fits = F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent
     pairs = a.join(prefix, ["soup", "gram"]).where((F.col("part") != F.col("part_a")) & fits & (F.least("shared", "shared_a") >= need))

@@ -79,6 +79,43 @@ def test_near_dedup_links_through_partners_of_the_pivot(spark):
     assert got == brute.groups({r[0]: r[1] for r in rows})
 
 
+def chains(seeds, step):
+    """Windows of 200 shingles, each ``step`` words on from the one before, with ids in any order: no shingle is in half of a chain."""
+    rows = []
+    for at, seed in enumerate(seeds):
+        draw = random.Random(seed)
+        words, ids = fresh(draw, 204 + step * 40), list(range(40))
+        draw.shuffle(ids)
+        rows += [(100 * at + i, " ".join(words[step * k : step * k + 204]), "en", "a", 1) for k, i in enumerate(ids)]
+    return rows
+
+
+def test_near_dedup_chains_without_a_common_shingle(spark):
+    rows = chains((6, 10, 13), 14)  # 186 of 214 shingles in common: 0.869
+    got = {r.doc: (r.n, r.component) for r in near_dedup.link(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute.groups({r[0]: r[1] for r in rows}) and {c for _, c in got.values()} == {0, 100, 200}
+
+
+def test_pipeline_near_dedup_chains_without_a_common_shingle(spark):
+    rows = chains((13, 19), 20)  # 180 of 220: 0.818
+    assert sorted(r.doc_id for r in near_dedup.keep_first(spark, spark.createDataFrame(rows, DOCS), "").collect()) == [0, 100]
+
+
+def test_near_dedup_second_round_with_a_part_of_any_name(spark):
+    # P = 5, y with one shingle of P replaced, x with eight more of y, z with eight more of x: x and z are a part that isn't linked with P.
+    p = list(range(100))
+    y = [1000, *p[1:]]
+    x = [*y[:92], *range(2000, 2008)]
+    z = [*range(3000, 3008), *x[8:]]
+    own = {5: p, 6: y, 7: x, **{20 + i: [*p[: 30 + i], 4000 + i, *p[31 + i :]] for i in range(8)}}
+    for name in (-1, 2):
+        sets = own | {name: z}
+        parts = {**dict.fromkeys(own, 5), 7: name, name: name}
+        left = spark.createDataFrame([(min(name, 5), len(sets), i, 100, parts[i], g) for i, g in sets.items()], "soup long, members long, rep long, n long, component long, grams array<long>")
+        found = near_dedup._second_round(spark, left, spark.createDataFrame(list(sets.items()), "doc long, grams array<long>"), 85).collect()
+        assert (6, 7) in {(r.u, r.v) for r in found}
+
+
 def test_decontamination_near_the_threshold(spark):
     draw, items, texts = random.Random(7), [], []
     for n in (46, 50, 55, 59, 59, 60):
