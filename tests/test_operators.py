@@ -177,6 +177,16 @@ def test_labels(spark):
     assert got == {"a": "deep learning rocks", "b": "garden soil notes", "c": None}
 
 
+def test_labels_send_no_phrases_to_the_driver(spark, tmp_path):
+    """By the size of the titles all would be broadcast; only the number of classes, one row, is."""
+    titles = spark.createDataFrame([(i % 3, str(i), f"deep learning rocks {i}") for i in range(30)], "class long, title_id string, title string")
+    titles.write.parquet(str(tmp_path / "titles"))  # of a file the plan knows the size
+    titles = spark.read.parquet(str(tmp_path / "titles"))
+    for frame in (labels.term_scores(titles), labels.label(titles)):
+        plan = frame._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" not in plan and plan.count("BroadcastExchange") <= 2 * plan.count("BroadcastNestedLoopJoin")
+
+
 def test_store(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string")
