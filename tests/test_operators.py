@@ -100,6 +100,35 @@ def test_passive(spark, pages, want):
     assert got.passive is want
 
 
+
+def test_endless_session_in_buckets(spark, monkeypatch):
+    """Without a key, buckets are of rows: no window holds a session, and streaks go on across their borders."""
+    monkeypatch.setattr(sessions, "BUCKET_ROWS", 40, raising=False)
+    draw = random.Random(3)
+    rows, at = [], 0
+    for i in range(1_200):
+        calm = 60 < i % 300 < 60 + i // 5
+        at += draw.choice(([0, 1_000] if calm else [0, 1_000, 200_000]) if i % 300 else [9_000_000])
+        rows.append((i, "t", "d" if calm else draw.choice(["d", "e", None]), at, at, 0 if calm else draw.randint(0, 9), True))
+    want, runs = [], []
+    for r in rows:
+        if not runs or r[4] - runs[-1][-1][4] > sessions.GAP_MS:
+            runs.append([])
+        runs[-1].append(r)
+    for run in runs:
+        longest = n = 0
+        for k, r in enumerate(run):
+            idle = (k + 1 == len(run) or run[k + 1][4] - r[4] <= sessions.PASSIVE_PAGE_MS) and r[5] <= sessions.PASSIVE_SECONDS
+            same = not k or run[k - 1][2] is None or r[2] is None or run[k - 1][2] == r[2]
+            n = n + 1 if idle and same else int(idle)
+            longest = max(longest, n)
+        want.append((run[0][3], len(run), longest >= 5 and longest * 2 >= len(run)))
+    frame = spark.createDataFrame(rows, "id long, title string, domain string, first_visit long, last_visit long, active_seconds long, captured boolean").repartition(5)
+    got = sessions.build(frame, 0, with_pages=False).orderBy("start").collect()
+    assert [(r.start, r.page_count, r.passive) for r in got] == want and {w[2] for w in want} == {True, False}
+    assert sessions._bucketed(frame, [], "last_visit", "id", sessions.GAP_MS).groupBy("_b").count().agg(F.max("count")).first()[0] < 200
+
+
 def test_diversity(spark):
     rows = spark.createDataFrame([(1, "A", 0.9), (2, "A", 0.8), (3, "A", 0.7), (4, "A", 0.6), (5, "B", 0.5)], "id long, domain string, score double")
     assert [r.id for r in search.diversify(rows, 4).collect()] == [1, 2, 3, 5]
