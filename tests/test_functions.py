@@ -149,3 +149,15 @@ def test_times(spark):
 def test_vectors(spark):
     row = spark.range(1).select(vectors.unit(F.array(F.lit(3.0), F.lit(4.0))).alias("u"), vectors.unit(F.array(F.lit(0.0))).alias("z"), vectors.cosine(F.array(F.lit(1.0)), F.array(F.lit(0.0))).alias("c")).first()
     assert (row.u, row.z, row.c) == ([0.6, 0.8], [0.0], None)
+
+
+def test_ladder_judges_once(spark, data):
+    """A page's length and the qualities of its candidates stand once in the plan, not wherever they are looked at."""
+    from pagestrata.functions import fixed, text
+    from pagestrata.plans import pages
+
+    plan = pages.extraction(spark, data)._jdf.queryExecution().analyzed().toString()
+    assert plan.count(fixed.TERMINATOR) == 2  # of candidates, and of the empty text where there are none
+    assert plan.count(r"<(script|style)") == 1 + 1 + 3  # the whole page, the article, title and descriptions
+    rows = spark.createDataFrame([("one two  three", 7), ("one two", 7), ("abcdefghij k", 10), (None, 3)], "t string, n int")
+    assert [r[0] for r in rows.select(text.cap(rows.t, 7)).collect()] == ["one two", "one two", "abcdefg", ""]
